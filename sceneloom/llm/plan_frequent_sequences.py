@@ -15,7 +15,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return frequent_sequences(table(spark, sf, "structural_matches"), "match_no", chain, 0.06, 3, 5)
 
 
-_C = "select match_no, list_transform(list_filter(max(rst_chain), x -> x is not null), x -> replace(replace(upper(trim(x)), ' ', '_'), '-', '_')) as c from structural_matches group by 1"
+_C = "select match_no, [replace(replace(upper(trim(x)), ' ', '_'), '-', '_') for x in max(rst_chain) if x is not null] as c from structural_matches group by 1"
 QUERIES = {"p6_found": p6_found}
 SQL = {
     "p6_found": f"""
