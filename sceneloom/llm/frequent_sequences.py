@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sceneloom.runtime import cut
 
-CHUNK = 100_000  # distinct sequences in one diagram
+CHUNK = 25_000  # distinct sequences in one diagram
 BLOCK = 50_000  # candidate patterns sent to the executors at once
 
 
