@@ -56,7 +56,7 @@ def discourse_summary(clean: DataFrame) -> DataFrame:
     by_label = F.array_sort(F.collect_list(F.struct("rel", "links")))
     by_count = F.array_sort(F.collect_list(F.struct((-F.col("links")).alias("order"), "first_pos", "rel", "links")))
     s = relation_statistics(clean).groupBy("video_id").agg(F.sum("links").alias("num_relations"), by_label.alias("l"), by_count.alias("c"))
-    share = lambda x: F.format_string("%d %s (%.1f%%)", x["links"], x["rel"], x["links"] * 100.0 / F.col("num_relations"))
+    share = lambda x: F.format_string("%d %s (%.1f%%)", x["links"], x["rel"], F.bround(x["links"] * 100.0 / F.col("num_relations"), 1))
     top = F.col("c")[0]["rel"]
     return s.select(
         "video_id", "num_relations", F.to_json(F.map_from_entries("l")).alias("relation_statistics"), top.alias("dominant"),
