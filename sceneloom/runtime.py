@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -42,6 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     where = os.path.join(tempfile.gettempdir(), f"sceneloom-{os.getpid()}")
     spark.conf.set("spark.checkpoint.dir", where)
+    atexit.register(shutil.rmtree, where, True)
     return where
 
 
