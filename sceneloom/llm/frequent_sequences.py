@@ -211,7 +211,7 @@ def frequent_sequences(df: DataFrame, key: str, chain: Column, share: float, sho
     def local(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d, root, weight in _chunks(it, code):
             found = d.mine(root, share * weight - 1e-9, longest, {})
-            yield pd.DataFrame({"ids": [list(p) for p, _ in found if len(p) >= shortest]})
+            yield pd.DataFrame({"ids": pd.Series([list(p) for p, _ in found if len(p) >= shortest], dtype=object)})
 
     candidates = cut(chains.mapInPandas(local, "ids array<int>").distinct())
     blocks = max(1, math.ceil(candidates.count() / BLOCK))
@@ -229,7 +229,8 @@ def frequent_sequences(df: DataFrame, key: str, chain: Column, share: float, sho
             got: dict[tuple[int, ...], int] = {}
             for d, root, _ in _chunks(it, code):
                 d.count(root, trie, (), got)
-            yield pd.DataFrame({"pattern": [sep.join(items[x] for x in p) for p in got], "support": list(got.values())})
+            names = pd.Series([sep.join(items[x] for x in p) for p in got], dtype=object)
+            yield pd.DataFrame({"pattern": names, "support": pd.Series(list(got.values()), dtype="int64")})
 
         parts.append(chains.mapInPandas(exact, out).groupBy("pattern").agg(F.sum("support").alias("support")).where(F.col("support") >= least))
     result = parts[0]
