@@ -86,7 +86,8 @@ def overlapping_texts(df: DataFrame, key: str, text: str, side: str, shortest: i
             flat, sizes = hashed(lists)
             cls = [xxhash.xxh3_128_digest(" ".join(w).encode("utf-8", "surrogatepass")) for w in lists]
             tokens = np.split(flat.view(np.int64), np.cumsum(sizes)[:-1]) if lists else []
-            yield pd.DataFrame({"key": pdf["key"][keep].to_numpy(), "train": pdf["train"][keep].to_numpy(), "cls": cls, "tokens": list(tokens)})
+            lists = {"cls": pd.Series(cls, dtype=object), "tokens": pd.Series(list(tokens), dtype=object)}  # typed also where they are empty
+            yield pd.DataFrame({"key": pdf["key"][keep].to_numpy(), "train": pdf["train"][keep].to_numpy()} | lists)
 
     kind = df.schema[key].dataType.simpleString()
     folded = cut(rows.mapInPandas(fold, f"key {kind}, train boolean, cls binary, tokens array<bigint>"))

@@ -174,6 +174,7 @@ def test_overlaps_against_brute_force(spark):
     got = sorted((r.train_key, r.eval_key) for r in overlapping_texts(df, "k", "t", "train").collect())
     assert got == sorted([*overlap_brute(small), (6004, 6005)])
     assert overlapping_texts(df.where("false"), "k", "t", "train").count() == 0
+    assert overlapping_texts(df.where("k in (6001, 6000)"), "k", "t", "train").count() == 0  # only short texts
     assert overlapping_keys(df.where("k >= 5000 and k < 5004"), "k", "t", "train").count() == 4
     assert overlapping_keys(df.where("false"), "k", "t", "train").count() == 0
 
