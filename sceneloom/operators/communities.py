@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sceneloom.runtime import cut
+from sceneloom.runtime import Rounds, cut
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -17,15 +17,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     e = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null")
     e = cut(e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    state = cut(e.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("c")))
-    while True:
+    rounds = Rounds(edges.sparkSession)
+    moved = rounds.add(e.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("c")).withColumn("moved", F.lit(True)), F.col("moved"))
+    while moved:
+        state = rounds.last().drop("moved")
         around = e.join(state.select(F.col("x").alias("y"), F.col("c").alias("cy")), "y").groupBy("x").agg(F.min("cy").alias("cy"))
         near = state.join(around, "x").select("x", F.col("c").alias("was"), F.least("c", "cy").alias("c"))
-        jump = cut(near.join(state.select(F.col("x").alias("c"), F.col("c").alias("cc")), "c", "left").select("x", "was", F.least("c", F.coalesce("cc", "c")).alias("c")))
-        moved = not jump.where("was <> c").isEmpty()
-        state = jump.select("x", "c")
-        if not moved:
-            return state.select(F.col("x").alias("node"), F.col("c").alias("component"))
+        jump = near.join(state.select(F.col("x").alias("c"), F.col("c").alias("cc")), "c", "left").select("x", "was", F.least("c", F.coalesce("cc", "c")).alias("c"))
+        moved = rounds.add(jump.select("x", "c", (F.col("was") != F.col("c")).alias("moved")), F.col("moved"))
+    return rounds.last().select(F.col("x").alias("node"), F.col("c").alias("component"))
 
 
 def communities(edges: DataFrame, weight: str = "weight", resolution: float = 1.0, rounds: int = 10, a: str = "a", b: str = "b") -> DataFrame:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sceneloom.runtime import cut
+from sceneloom.runtime import Rounds
 
 
 def resolve_hierarchy(parents: DataFrame, group: str, node: str, parent: str) -> DataFrame:
@@ -37,18 +35,21 @@ def resolve_hierarchy(parents: DataFrame, group: str, node: str, parent: str) ->
     orphans = base.where("p is not null").select("g", F.col("p").alias("n")).distinct().join(base.select("g", "n"), ["g", "n"], "left_anti")
     base = base.unionByName(orphans.withColumn("p", F.lit(None).cast(base.schema["p"].dataType)))
     # state 0: climbing, 1: resolved (seg is the full path), 2: never ends
-    state = cut(
+    climbing = F.col("state") == 0
+    rounds = Rounds(parents.sparkSession)
+    left = rounds.add(
         base.select(
             "g", "n", F.col("p").alias("up"), F.array("n").alias("seg"),
             F.when(F.col("p").isNull(), 1).when(F.col("p") == F.col("n"), 2).otherwise(0).alias("state"),
-        )
+        ),
+        climbing,
     )
-    done, active = [state.where("state > 0")], state.where("state = 0")
-    while not active.isEmpty():
-        known = reduce(DataFrame.unionByName, [*done, active])
+    while left:
+        active = rounds.last().where(climbing)
+        known = rounds.all().where(~climbing).unionByName(active)
         above = known.select("g", F.col("n").alias("up"), F.col("up").alias("up2"), F.col("seg").alias("seg2"), F.col("state").alias("state2"))
         own = F.expr("state2 = 2 or (state2 = 0 and (up2 = n or array_contains(seg2, n)))")
-        state = cut(
+        step = (
             active.drop("state")
             .join(above, ["g", "up"])
             .select(
@@ -57,10 +58,9 @@ def resolve_hierarchy(parents: DataFrame, group: str, node: str, parent: str) ->
                 F.when(own, 2).otherwise(F.col("state2")).alias("state"),
             )
         )
-        done.append(state.where("state > 0"))
-        active = state.where("state = 0")
+        left = rounds.add(step, climbing)
     ended = F.col("state") == 1
-    return reduce(DataFrame.unionByName, done).select(
+    return rounds.all().where(~climbing).select(
         F.col("g").alias(group), F.col("n").alias(node),
         F.when(ended, F.get("seg", F.lit(0))).alias("root"),
         F.when(ended, F.size("seg") - 1).otherwise(-1).alias("depth"),

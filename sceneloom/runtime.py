@@ -8,7 +8,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(app: str = "sceneloom", cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -61,6 +62,27 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+class Rounds:
+    """The written tables of an iteration, one folder each, read together as one scan."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.base, self.n, self.schema = spark, f"{shared_dir(spark)}/rounds-{uuid.uuid4().hex}", 0, None
+
+    def add(self, df: DataFrame, open_rows: Column) -> int:
+        """Write the next table; returns how many of its rows are open, counted while they are written."""
+        seen = Observation()
+        self.schema = df.schema
+        df.observe(seen, F.count_if(open_rows).alias("n")).write.parquet(f"{self.base}/{self.n}")
+        self.n += 1
+        return seen.get["n"]
+
+    def last(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.base}/{self.n - 1}")
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*(f"{self.base}/{k}" for k in range(self.n)))
+
+
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     """Give a scan that came in fewer partitions than there are cores one partition per core.
 
