@@ -8,13 +8,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sceneloom.functions.vectors import dot, softmax, unit
+from sceneloom.operators.tables import ranked
 
 
 def number_by_size(members: DataFrame, least: int = 2, prefix: str = "concept_") -> DataFrame:
-    """(node, concept_id, concept_no): communities numbered by falling size (ties by name), then those under ``least`` dropped, which leaves gaps only at the end."""
+    """(node, concept_id, concept_no): communities numbered by falling size, equal sizes by a digest of the name; those under ``least`` are dropped, which leaves gaps only at the end.
+
+    Communities of one size are ranked in parts, and shifted by the number of larger ones: there are few different sizes.
+    """
     sizes = members.groupBy("community").agg(F.count("*").alias("n"))
-    # one row a community: a total order over them is what the numbering is
-    numbered = sizes.withColumn("concept_no", F.row_number().over(Window.orderBy(F.desc("n"), "community"))).where(F.col("n") >= least)
+    larger = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.groupBy("n").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(larger), F.lit(0))).drop("c")
+    inside = ranked(sizes, ["n"], F.md5(F.col("community").cast("string")), "community")
+    numbered = inside.join(before, "n").where(F.col("n") >= least).select("community", (F.col("rank") + F.col("before")).alias("concept_no"))
     return members.join(numbered, "community").select("node", F.concat(F.lit(prefix), F.col("concept_no")).alias("concept_id"), "concept_no")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -11,6 +10,10 @@ from pyspark.sql import functions as F
 
 from sceneloom.functions.discourse import CANONICAL, DYNAMIC, known_relation
 from sceneloom.functions.text import canonical_video_id
+from sceneloom.operators.hierarchy import resolve_hierarchy
+from sceneloom.runtime import Rounds, cut
+
+LARGEST = 100_000  # links of a video that one task walks
 
 
 def clean_links(links: DataFrame, samples: DataFrame) -> DataFrame:
@@ -150,64 +153,74 @@ def structural_matches(paths: DataFrame, is_query: Column, limit: int = 50) -> D
     return asked.join(held, "chain").groupBy("query_id", "video_id").agg((F.max("n") + 1).alias("max_nodes"), F.sum("paths").alias("matched"))
 
 
-def per_video(clean: DataFrame, walk: Callable[[list[tuple[int, int, str]]], list[tuple]], schema: str) -> DataFrame:
-    """Apply ``walk`` to the links (parent, child, rel by position) of each video. For walks whose order matters; a video's links meet in one task."""
-    names = [c.split()[0] for c in schema.split(", ")]
+def depths(clean: DataFrame, largest: int = LARGEST) -> DataFrame:
+    """(video_id, scene_id, depth): links between each scene and the anchor, the smallest source of a ROOT link, else the smallest scene; -1 if there is no way."""
+    return breadth_first(clean, largest).select("video_id", "scene_id", "depth")
+
+
+def paths_to_root(clean: DataFrame, largest: int = LARGEST) -> DataFrame:
+    """(video_id, scene_id, path): relation and scene of every step on a shortest way to the anchor, "" for the anchor and scenes without a way.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("link_pos")
-        rows = walk(list(zip(pdf["parent"].tolist(), pdf["child"].tolist(), pdf["rel"].tolist())))
-        return pd.DataFrame([(pdf["video_id"].iloc[0], *r) for r in rows], columns=["video_id", *names])
+    Of several ways on, the one over the earliest link is taken.
+    """
+    seen = cut(breadth_first(clean, largest))
+    ways = resolve_hierarchy(seen.where("depth >= 0").select("video_id", "scene_id", "before"), "video_id", "scene_id", "before")
+    steps = ways.select("video_id", F.col("scene_id").alias("from"), F.posexplode(F.reverse("path")).alias("i", "scene_id")).join(seen, ["video_id", "scene_id"]).where("before is not null")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", F.concat("rel", F.lit(">"), "before").alias("s")))), lambda x: x["s"]), " ")
+    told = steps.groupBy("video_id", F.col("from").alias("scene_id")).agg(text.alias("path"))
+    return seen.select("video_id", "scene_id").join(told, ["video_id", "scene_id"], "left").select("video_id", "scene_id", F.coalesce("path", F.lit("")).alias("path"))
 
-    return clean.select("video_id", "link_pos", "parent", "child", "rel").groupBy("video_id").applyInPandas(run, f"video_id string, {schema}")
 
+def breadth_first(clean: DataFrame, largest: int = LARGEST) -> DataFrame:
+    """(video_id, scene_id, depth, before, rel): each scene's depth and the link to the scene before it, of several the earliest.
 
-def _neighbours(links: list[tuple[int, int, str]]) -> tuple[dict[int, list[tuple[int, str]]], int]:
-    near: dict[int, list[tuple[int, str]]] = {}
+    Videos of up to ``largest`` links are walked in one task each; larger ones level by level, one join a level.
+    """
+    size = clean.groupBy("video_id").agg(F.count("*").alias("size"))
+    sized = cut(clean.join(size, "video_id").select("video_id", "link_pos", "parent", "child", "rel", "size"))
+    small = sized.where(F.col("size") <= largest).drop("size").groupBy("video_id").applyInPandas(_walk, "video_id string, scene_id int, depth int, before int, rel string")
+    big = sized.where(F.col("size") > largest)
+    if big.isEmpty():
+        return small
+    ends = F.inline(F.array(*(F.struct(F.col(a).alias("scene_id"), F.col(b).alias("to")) for a, b in (("parent", "child"), ("child", "parent")))))
+    edges = cut(big.select("video_id", "link_pos", "rel", ends))
+    anchor = big.groupBy("video_id").agg(F.coalesce(F.min(F.when(F.col("rel") == "ROOT", F.col("parent"))), F.min(F.least("parent", "child"))).alias("scene_id"))
+    rounds = Rounds(clean.sparkSession)
+    rounds.add(anchor.select("video_id", "scene_id", F.lit(0).alias("depth"), F.lit(None).cast("int").alias("before"), F.lit(None).cast("string").alias("rel")), F.lit(True))
+    depth = 0
+    while True:
+        depth += 1
+        step = rounds.last().select("video_id", "scene_id").join(edges, ["video_id", "scene_id"]).join(rounds.all().select("video_id", F.col("scene_id").alias("to")), ["video_id", "to"], "left_anti")
+        first = F.min_by(F.struct(F.col("scene_id").alias("before"), "rel"), F.struct("link_pos", "scene_id")).alias("l")
+        found = step.groupBy("video_id", F.col("to").alias("scene_id")).agg(first).select("video_id", "scene_id", F.lit(depth).alias("depth"), "l.before", "l.rel")
+        if not rounds.add(found, F.lit(True)):
+            break
+    nodes = edges.select("video_id", "scene_id").distinct().join(rounds.all(), ["video_id", "scene_id"], "left")
+    return small.unionByName(nodes.withColumn("depth", F.coalesce("depth", F.lit(-1))).select("video_id", "scene_id", "depth", "before", "rel"))
+
+
+def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
+    near: dict[int, list[tuple[int, int, str]]] = {}
     roots = []
-    for p, c, rel in links:
-        near.setdefault(p, []).append((c, rel))
-        near.setdefault(c, []).append((p, rel))
+    for pos, p, c, rel in zip(pdf["link_pos"], pdf["parent"], pdf["child"], pdf["rel"]):
+        near.setdefault(p, []).append((pos, c, rel))
+        near.setdefault(c, []).append((pos, p, rel))
         if rel == "ROOT":
             roots.append(p)
-    return near, min(roots or near)
-
-
-def _search(links: list[tuple[int, int, str]]) -> dict[int, tuple[int, int | None, str | None]]:
-    """scene -> (depth, scene before it, relation), breadth first from the root over links in either direction."""
-    near, root = _neighbours(links)
-    seen: dict[int, tuple[int, int | None, str | None]] = {root: (0, None, None)}
-    front = [root]
+    anchor = min(roots or near)
+    seen: dict[int, tuple] = {anchor: (0, None, None)}
+    front, depth = [anchor], 0
     while front:
-        nxt = []
+        depth += 1
+        best: dict[int, tuple[int, int, str]] = {}
         for a in front:
-            for b, rel in near[a]:
-                if b not in seen:
-                    seen[b] = (seen[a][0] + 1, a, rel)
-                    nxt.append(b)
-        front = nxt
-    return {s: seen.get(s, (-1, None, None)) for s in near}
-
-
-def depths(clean: DataFrame) -> DataFrame:
-    """(video_id, scene_id, depth): links between each scene and the anchor, the smallest source of a ROOT link, else the smallest scene; -1 if there is no way."""
-    return per_video(clean, lambda links: [(s, d) for s, (d, _, _) in _search(links).items()], "scene_id int, depth int")
-
-
-def paths_to_root(clean: DataFrame) -> DataFrame:
-    """(video_id, scene_id, path): the relations on the shortest way to the anchor; ties go to the earlier link."""
-
-    def walk(links: list[tuple[int, int, str]]) -> list[tuple]:
-        seen, out = _search(links), []
-        for s in seen:
-            way, at = [], s
-            while seen[at][1] is not None:
-                way.append(f"{seen[at][2]}>{seen[at][1]}")
-                at = seen[at][1]
-            out.append((s, " ".join(way)))
-        return out
-
-    return per_video(clean, walk, "scene_id int, path string")
+            for pos, b, rel in near[a]:
+                if b not in seen and (b not in best or (pos, a) < best[b][:2]):
+                    best[b] = (pos, a, rel)
+        seen |= {b: (depth, a, rel) for b, (_, a, rel) in best.items()}
+        front = list(best)
+    rows = [(pdf["video_id"].iloc[0], s, *seen.get(s, (-1, None, None))) for s in near]
+    return pd.DataFrame(rows, columns=["video_id", "scene_id", "depth", "before", "rel"]).astype({"before": "Int32"})
 
 
 def tree_text(clean: DataFrame, captions: DataFrame) -> DataFrame:

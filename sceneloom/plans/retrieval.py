@@ -199,7 +199,7 @@ _SIM = SCENES + """, sim as (select a.vec_id as a, b.vec_id as b, round(list_dot
   where a.vec_id % 20 = 0 and a.video_id <> b.video_id qualify row_number() over (partition by a.vec_id order by c desc, b.vec_id) <= 5)
 """
 _CONCEPT = _SIM + """, g as (select a as x, b as y from sim union select b, a from sim), w as (select x, x as r from g union select w.x, g.y from w join g on w.r = g.x),
-cc as (select x as node, min(r) as component from w group by 1), z as (select component, count(*) as n, row_number() over (order by count(*) desc, component) as no from cc group by 1),
+cc as (select x as node, min(r) as component from w group by 1), z as (select component, count(*) as n, row_number() over (order by count(*) desc, md5(component::varchar)) as no from cc group by 1),
 c as (select s.*, 'concept_' || no as concept_id from s join cc on vec_id = node join z using (component) where n >= 2)
 """
 _REL = "([" + ", ".join(f"'{r}'" for r in RELS) + "])[rel_code + 1]"

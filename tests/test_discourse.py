@@ -44,6 +44,19 @@ def test_depths_differ_by_one_over_links(spark, clean):
     assert all(abs(d[r.video_id, r.parent] - d[r.video_id, r.child]) <= 1 for r in clean.collect())
 
 
+def test_large_videos_are_walked_level_by_level(spark, clean):
+    from random import Random
+
+    rng = Random(3)
+    links = [("r", i, 0, 0, rng.choice(["CAUSE", "ROOT", "JOINT"]), rng.randrange(25), rng.randrange(25)) for i in range(30)]
+    df = clean.unionByName(spark.createDataFrame([(v, i, 0, 0, r, p, c) for v, i, _, _, r, p, c in links], CLEAN))
+    for f in (op.depths, op.paths_to_root, op.breadth_first):
+        one, two = ({tuple(r) for r in f(df, n).collect()} for n in (0, 100))
+        assert one == two and len(one) > 10
+    paths = {(r.video_id, r.scene_id): r.path for r in op.paths_to_root(clean).collect()}
+    assert paths["v", 2] == "TEMPORAL>1 TEMPORAL>0" and paths["v", 3] == "ATTRIBUTION>0" and paths["v", 0] == ""
+
+
 def test_paths_repeat_no_link(spark, clean):
     p = op.relation_paths(clean).collect()
     assert all(len(set(r.links)) == len(r.links) for r in p)
