@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-VIDEO_ID = r"([A-Za-z0-9_-]{11})(?:\.[A-Za-z0-9]+)?\s*$"
+VIDEO_ID = r"([A-Za-z0-9_-]{11})(?:\.[A-Za-z0-9]+)?(?:[?&#].*)?[/\\\s]*$"
 
 
 def canonical_video_id(c: str | Column) -> Column:
