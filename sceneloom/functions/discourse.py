@@ -9,24 +9,24 @@ from sceneloom.functions.text import relation_label
 
 # The relation types in code order, with the phrase that glosses each.
 GLOSS = {
-    "TEMPORAL": "followed in time by",
-    "TEXTUAL_ORGANIZATION": "organizes",
+    "ELABORATION": "elaborates on",
+    "ATTRIBUTION": "attributed to",
     "JOINT": "alongside",
-    "TOPIC_COMMENT": "comments on",
-    "COMPARISON": "compares with",
-    "CONDITION": "conditions",
+    "SAME_UNIT": "continues from",
     "CONTRAST": "contrasts with",
+    "EXPLANATION": "explains",
+    "BACKGROUND": "sets the background for",
+    "CAUSE": "causes",
+    "ENABLEMENT": "enables",
     "EVALUATION": "evaluates",
+    "TEMPORAL": "followed in time by",
+    "CONDITION": "conditions",
+    "COMPARISON": "compares with",
     "TOPIC_CHANGE": "shifts topic from",
     "SUMMARY": "summarizes",
     "MANNER_MEANS": "means of",
-    "ATTRIBUTION": "attributed to",
-    "CAUSE": "causes",
-    "BACKGROUND": "sets the background for",
-    "ENABLEMENT": "enables",
-    "EXPLANATION": "explains",
-    "SAME_UNIT": "continues from",
-    "ELABORATION": "elaborates on",
+    "TEXTUAL_ORGANIZATION": "organizes",
+    "TOPIC_COMMENT": "comments on",
     "ROOT": "opens with",
     "SPAN": "continues with",
 }
@@ -51,3 +51,10 @@ def gloss(c: str | Column) -> Column:
 def chain_gloss(c: str | Column, sep: str = " -> ") -> Column:
     """The phrases of a chain of types, joined."""
     return F.array_join(F.transform(F.col(c) if isinstance(c, str) else c, gloss), sep)
+
+
+def relation_code(c: str | Column, most: int | None = None) -> Column:
+    """The number of a relation in the vocabulary's order, JOINT's for unknown ones; codes above ``most`` are lowered to it, as for a model with fewer types."""
+    codes = F.create_map(*(F.lit(x) for i, k in enumerate(GLOSS) for x in (k, i)))
+    code = F.element_at(codes, known_relation(c))
+    return code if most is None else F.least(code, F.lit(most))

@@ -120,6 +120,7 @@ def verdict(raw: str | Column, labels: tuple[int, ...] = (0, 1, 2)) -> Column:
     ``label: n`` anywhere; else the label is -1. Labels snap to the allowed ones. Null or empty output is -1.
     """
     text = unfenced(raw)
+    # fixed values: the patterns that find the object and the loose label
     body = F.regexp_extract(text, r"(?s)\{.*\}", 0)
     doc = F.try_parse_json(F.when(body != "", body).otherwise(text))
     said = F.trim(F.try_variant_get(doc, "$.predicted_label", "string"))

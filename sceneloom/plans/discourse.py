@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sceneloom.functions.discourse import CANONICAL, DYNAMIC, GLOSS, chain_gloss, gloss
+from sceneloom.functions.discourse import CANONICAL, DYNAMIC, GLOSS, chain_gloss, gloss, relation_code
 from sceneloom.functions.text import relation_label
 from sceneloom.operators import discourse as op
 from sceneloom.runtime import cut, table
@@ -27,6 +27,11 @@ def link_void_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return op.void_links(table(spark, sf, "rst_links"), table(spark, sf, "video_samples"))
 
 
+def edge_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Links as edges between positions from 0, with the relation's code and that of a model of 18 types."""
+    return _links(spark, sf).select("video_id", "link_pos", (F.col("src") - 1).alias("a"), (F.col("tgt") - 1).alias("b"), relation_code("rel").alias("code"), relation_code("rel", 17).alias("clamped"))
+
+
 def relation_normalize(spark: SparkSession, sf: str) -> DataFrame:
     label = relation_label("rel")
     return table(spark, sf, "rst_links").groupBy(label.alias("rel"), gloss(label).alias("phrase")).agg(F.count("*").alias("n"))
@@ -116,12 +121,13 @@ p as (select * from p2 union all select * from p3 union all select * from p4)
 QUERIES = {
     f.__name__: f
     for f in (
-        clean_links, link_void_reasons, relation_normalize, chain_explained, relation_statistics, discourse_summary, relation_sequence, topology_vector,
+        clean_links, edge_index, link_void_reasons, relation_normalize, chain_explained, relation_statistics, discourse_summary, relation_sequence, topology_vector,
         undirected_links, linked_scene, local_subgraph_context, two_hop_subgraph, relation_paths, structural_match, scene_depth, path_to_root, discourse_tree,
     )
 }
 SQL = {
     "clean_links": LINKS + "select * from k",
+    "edge_index": LINKS + f"select video_id, link_pos, src - 1 as a, tgt - 1 as b, list_position([{', '.join(repr(t) for t in GLOSS)}], rel) - 1 as code, least(list_position([{', '.join(repr(t) for t in GLOSS)}], rel) - 1, 17) as clamped from k",
     "link_void_reasons": LINKS + r""", n as (select regexp_extract(video_id, '([A-Za-z0-9_-]{11})(\.[A-Za-z0-9]+)?\s*$', 1) as video_id, max(len(scene_ids)) as n from video_samples group by 1)
 select case when n is null then 'no scene list' when e.s is null or e.t is null then 'null end' when not (e.s between 1 and n and e.t between 1 and n) then 'out of range' else 'valid' end as reason,
 count(*) as links from l left join n using (video_id) group by 1""",
