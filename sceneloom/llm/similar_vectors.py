@@ -14,9 +14,9 @@ from sceneloom.runtime import cut
 
 SAMPLE_LEAST, SAMPLE_MOST = 4096, 200_000  # vectors that the split planes are fitted on
 LEAF_SAMPLE = 8  # sample vectors for each leaf, so the sample's size follows the table's up to SAMPLE_MOST
-SLACK = 0.01  # what the one-byte codes may be off by in a cosine
-KEEP = 64  # candidates a query may take from one leaf
-SPILL = 0.12  # inside an oversized leaf, queries this close to a plane search both sides
+ROUNDING = 2e-6  # what a cosine of single precision may be off by
+MERGE_DIGITS = 6  # vectors whose unit vectors agree to so many digits are one in the search
+BLOCK = 1 << 22  # products held at once
 
 
 @dataclass
@@ -121,33 +121,58 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _near(q: np.ndarray, x: np.ndarray, qi: np.ndarray, xi: np.ndarray, least: float, keep: int, rng: np.random.Generator, biggest: int, out: list) -> None:
-    """Appends (query rows, index rows) of the best ``keep`` per query above ``least``; splits what is larger than ``biggest``."""
+def _near(
+    q: np.ndarray, x: np.ndarray, qi: np.ndarray, xi: np.ndarray, least: float, keep: int, rng: np.random.Generator, biggest: int, out: list,
+    q_off: np.ndarray | None = None, x_off: np.ndarray | None = None, tie: float = 0.0, same: bool = True,
+) -> None:
+    """Appends (query rows, index rows) of all that may be among the best ``keep`` per query of ``least`` and more; splits what is larger than ``biggest``.
+
+    ``q_off`` and ``x_off`` are the angles that the rows may be off by; cosines within ``tie`` count as equal. Two
+    vectors that reach ``least`` are at most a known distance apart, so a query searches both sides of every plane
+    that is no farther than that. ``same``: both sides are numbered alike, and a row is no candidate of its own.
+    """
     if not len(qi) or not len(xi):
         return
+    q_off = np.zeros(len(q), np.float32) if q_off is None else q_off
+    x_off = np.zeros(len(x), np.float32) if x_off is None else x_off
+    widest = np.arccos(np.clip(least - tie, -1, 1)) + float(q_off[qi].max()) + float(x_off[xi].max())
     if len(xi) > biggest and (p := _plane(x[xi], rng)) is not None:
         right, m = x[xi] @ p[0] > p[1], q[qi] @ p[0] - p[1]
+        spill = 2 * np.sin(min(widest, np.pi) / 2) + ROUNDING
         if 0.02 < right.mean() < 0.98:
-            for own, there in ((m > -SPILL, right), (m < SPILL, ~right)):
-                _near(q, x, qi[own], xi[there], least, keep, rng, biggest, out)
+            for own, there in ((m > -spill, right), (m < spill, ~right)):
+                _near(q, x, qi[own], xi[there], least, keep, rng, biggest, out, q_off, x_off, tie, same)
             return
-    for a in range(0, len(qi), 1024):
-        rows = qi[a : a + 1024]
-        best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for b in range(0, len(xi), 8192):
-            s = q[rows] @ x[xi[b : b + 8192]].T
-            i, j = np.nonzero(s >= least)
-            best.append((i, j + b, s[i, j]))
-        i, j, s = (np.concatenate(c) for c in zip(*best))
-        order = np.lexsort((-s, i))
-        i, j = i[order], j[order]
-        start = np.searchsorted(i, i, side="left")
-        top = np.arange(len(i)) - start < keep
+    floor = np.cos(min(widest, np.pi)) - ROUNDING
+    step = max(1, BLOCK // len(xi))
+    for a in range(0, len(qi), step):
+        rows = qi[a : a + step]
+        s = q[rows] @ x[xi].T
+        i, j = np.nonzero(s >= floor)
+        if same:
+            i, j = (c[rows[i] != xi[j]] for c in (i, j))
+        angle, off = np.arccos(np.clip(s[i, j], -1, 1)), q_off[rows[i]] + x_off[xi[j]]
+        low, high = np.cos(np.minimum(angle + off, np.pi)) - ROUNDING, np.cos(np.maximum(angle - off, 0)) + ROUNDING
+        order = np.lexsort((-low, i))
+        i, j, low, high = i[order], j[order], low[order], high[order]
+        last = np.searchsorted(i, i, side="left") + keep - 1  # where the query's last of the best would stand
+        there = np.minimum(last, max(0, len(i) - 1))
+        bar = np.where((last < len(i)) & (i[there] == i), low[there] - tie, -np.inf)
+        top = (high >= bar) & (high >= least - tie)
         out.append((rows[i[top]], xi[j[top]]))
 
 
-def equal_groups(df: DataFrame, uid: str, vec: str, at: str, dim: int) -> tuple[DataFrame, DataFrame]:
-    """(vectors(id, vec) that differ, members(id, uid)): the latest row of each uid, if its vector is sound, by equal vectors."""
+def _direction(v: Column, digits: int = MERGE_DIGITS) -> Column:
+    """The unit vector to ``digits`` digits, as whole numbers."""
+    once = lambda c, f: F.transform(F.array(c), f)[0]  # noqa: E731  a value that a lambda only names would be made again for every element
+    size = lambda d: F.sqrt(F.aggregate(d, F.lit(0.0), lambda s, x: s + x * x))
+    over = lambda d, n: once(F.struct(d.alias("d"), n.alias("n")), lambda r: F.transform(r["d"], lambda x: x / r["n"]))
+    small = once(F.transform(v, lambda x: x.cast("double")), lambda d: over(d, F.array_max(F.transform(d, F.abs))))
+    return F.transform(once(small, lambda d: over(d, size(d))), lambda x: F.round(x * 10**digits).cast("bigint"))
+
+
+def equal_groups(df: DataFrame, uid: str, vec: str, at: str, dim: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(directions(id, vec, h, merged), vectors(id, vid, vec), members(id, vid, uid)): the latest row of each uid, if its vector is sound, by equal vectors, and these by direction."""
     v = F.col(vec)
     sound = F.coalesce(
         (F.size(v) == dim) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False)
@@ -157,12 +182,15 @@ def equal_groups(df: DataFrame, uid: str, vec: str, at: str, dim: int) -> tuple[
     members = cut(latest.select("uid", "h", "h2"))
     kept = members.select("h", "h2").distinct()
     vectors = rows.where("sound").groupBy("h", "h2").agg(F.first("vec").alias("vec")).join(kept, ["h", "h2"], "left_semi")
-    vectors = cut(vectors.withColumn("id", F.monotonically_increasing_id()))
-    return vectors.select("id", "vec", "h"), members.join(vectors.select("id", "h", "h2"), ["h", "h2"]).select("id", "uid")
+    way = F.transform(F.array(_direction(F.col("vec"))), lambda w: F.struct(F.xxhash64(w).alias("d"), F.xxhash64(w, F.lit(7)).alias("d2")))[0]
+    vectors = cut(vectors.withColumn("vid", F.monotonically_increasing_id()).withColumn("way", way).select("h", "h2", "vec", "vid", "way.d", "way.d2"))
+    several = cut(vectors.groupBy("d", "d2").agg(F.min("vid").alias("id"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    named = vectors.join(several, ["d", "d2"], "left").withColumn("merged", F.col("id").isNotNull()).withColumn("id", F.coalesce("id", "vid"))
+    return named.where("id = vid").select("id", "vec", "h", "merged"), named.where("merged").select("id", "vid", "vec"), members.join(named.select("h", "h2", "id", "vid"), ["h", "h2"]).select("id", "vid", "uid")
 
 
-def candidate_pairs(vectors: DataFrame, least: float, trees: int, probes: int, leaf: int, seed: int = 7) -> DataFrame:
-    """(i, j) with i < j: pairs of ids that meet in a probed leaf with a coded cosine of about ``least`` or more."""
+def candidate_pairs(vectors: DataFrame, least: float, trees: int, probes: int, leaf: int, seed: int = 7, k: int = 5, tie: float = 1.1e-4) -> DataFrame:
+    """(i, j) with i < j: pairs of ids that meet in a probed leaf and may, by their codes, have a cosine of ``least`` and be among either's best ``k`` there or tie with them."""
     spark = vectors.sparkSession
     n = vectors.count()
     if not n:
@@ -172,7 +200,7 @@ def candidate_pairs(vectors: DataFrame, least: float, trees: int, probes: int, l
     sample = _unit(_matrix(part.select("vec").limit(want).toArrow().column(0)))
     forest = spark.sparkContext.broadcast(fit_forest(sample, trees, max(2, int(leaf * len(sample) / n)), seed))
     dim = sample.shape[1]
-    body = np.dtype([("id", "<i8"), ("scale", "<f4"), ("home", "u1"), ("code", "i1", (dim,))])
+    body = np.dtype([("id", "<i8"), ("scale", "<f4"), ("off", "<f4"), ("home", "u1"), ("code", "i1", (dim,))])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = forest.value
@@ -186,6 +214,8 @@ def candidate_pairs(vectors: DataFrame, least: float, trees: int, probes: int, l
             top = np.abs(x).max(1)
             rec["scale"] = top / 127
             rec["code"] = np.rint(x / top[:, None] * 127)
+            apart = np.linalg.norm(x - _unit(rec["code"].astype(np.float32)), axis=1)
+            rec["off"] = 2 * np.arcsin(np.minimum(apart / 2, 1)) + ROUNDING
             for p in range(leaves.shape[1]):
                 ok = leaves[:, p] >= 0
                 rec["home"] = p < trees
@@ -199,7 +229,7 @@ def candidate_pairs(vectors: DataFrame, least: float, trees: int, probes: int, l
         x = rec["code"].astype(np.float32) * rec["scale"][:, None]
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         out: list[tuple[np.ndarray, np.ndarray]] = []
-        _near(x, x, np.arange(len(x)), np.flatnonzero(rec["home"]), least - SLACK, KEEP, np.random.default_rng(seed), 4 * leaf, out)
+        _near(x, x, np.arange(len(x)), np.flatnonzero(rec["home"]), least, k, np.random.default_rng(seed), 4 * leaf, out, rec["off"], rec["off"], tie)
         i, j = (np.concatenate(c) if out else np.zeros(0, np.int64) for c in (zip(*out) if out else ((), ())))
         a, b = rec["id"][i], rec["id"][j]
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
@@ -221,26 +251,42 @@ def similar_vectors(
 
     Equal cosines go by smaller uid. All vectors are indexed and all are queries. The forest's planes are fitted on a
     sample of at most SAMPLE_MOST vectors, picked by hash. Each vector goes to its own leaf of every tree and, as a
-    query, to the ``probes`` best leaves of all trees together; what a leaf's one-byte codes show to be near is then
-    scored exactly on the full vectors. A leaf larger than four times ``leaf`` is split further in its task. Equal
-    vectors are one vector in the search, so a vector that a third of the rows share is searched once; each of its
-    rows gets its neighbours from the shared list of k + 1. The result is approximate: a pair is missed if its two
-    ends share no probed leaf, or if either has more than KEEP nearer ones in each leaf (recall in the README).
+    query, to the ``probes`` best leaves of all trees together; what a leaf's one-byte codes cannot rule out of the
+    best ``k`` is then scored exactly on the full vectors. A leaf larger than four times ``leaf`` is split further in
+    its task. Vectors of one direction, whatever their lengths, are one in the search, so a direction that a third of
+    the rows share is searched once; each of its rows gets its neighbours from the shared list of k + 1. Only where
+    the rounded cosine of two directions hangs on which of their vectors is taken are these scored one by one. The
+    result is approximate in one way: a pair is missed if its two ends share no probed leaf (recall in the README).
+    Vectors that are close but not of one direction are scored pair by pair where their codes tie.
 
     Edge cases: of a uid only the latest row counts; null uids, and vectors that are null, all zero, not finite, hold
     nulls or are not of length ``dim``, count nowhere; an empty table gives an empty result; other columns are ignored.
     """
-    vectors, members = equal_groups(df, uid, vec, at, dim)
+    directions, vectors, members = equal_groups(df, uid, vec, at, dim)
     members = cut(members)
-    pairs = candidate_pairs(vectors, least, trees, probes, leaf)
-    left, right = vectors.select(F.col("id").alias("i"), F.col("vec").alias("a")), vectors.select(F.col("id").alias("j"), F.col("vec").alias("b"))
-    scored = cut(pairs.join(left, "i").join(right, "j").select("i", "j", F.round(cosine(F.col("a"), F.col("b")), digits).alias("cos")).where(F.col("cos") >= least))
-    by_uid = Window.partitionBy("id").orderBy("uid")
-    few = members.withColumn("row", F.row_number().over(by_uid)).where(F.col("row") <= k + 1).drop("row")
+    half = 0.5 * 10**-digits
+    slack = np.sqrt(dim) * 10.0**-MERGE_DIGITS  # how far the vectors of a direction may be apart
+    pairs = candidate_pairs(directions, least, trees, probes, leaf, k=k, tie=2 * (half + 2 * slack))
+    left, right = (directions.select(F.col("id").alias(i), F.col("vec").alias(a), F.col("merged").alias(m)) for i, a, m in (("i", "a", "m"), ("j", "b", "n")))
+    c, off = cosine(F.col("a"), F.col("b")), slack * (F.col("m").cast("int") + F.col("n").cast("int"))
+    scored = pairs.join(left, "i").join(right, "j").withColumn("c", c).withColumn("off", off).where(F.col("c") + F.col("off") >= least - half)
+    scored = scored.withColumn("clear", F.round(F.col("c") - F.col("off"), digits) == F.round(F.col("c") + F.col("off"), digits))
+    scored = cut(scored.select("i", "j", "clear", F.round("c", digits).alias("cos"), *(F.when(~F.col("clear"), F.col(x)).alias(x) for x in ("a", "b"))))
+    own = lambda i, v, x: vectors.select(F.col("id").alias(i), F.col("vid").alias(v), F.col("vec").alias(x))
+    each = scored.where("not clear").join(own("i", "vi", "va"), "i", "left").join(own("j", "vj", "vb"), "j", "left")
+    each = each.select(F.coalesce("vi", "i").alias("i"), F.coalesce("vj", "j").alias("j"), F.round(cosine(F.coalesce("va", "a"), F.coalesce("vb", "b")), digits).alias("cos"))
     several = members.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.col("id").alias("other"), F.lit(1.0).alias("cos"))
-    both = scored.select(F.col("i").alias("id"), F.col("j").alias("other"), "cos").unionByName(scored.select(F.col("j").alias("id"), F.col("i").alias("other"), "cos")).unionByName(several)
-    near = both.join(few.select(F.col("id").alias("other"), F.col("uid").alias("neighbour")), "other")
-    ranked = near.withColumn("row", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cos"), "neighbour"))).where(F.col("row") <= k + 1)
-    lists = ranked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("row", "neighbour", "cos"))).alias("list"))
-    own = members.join(lists, "id").select("uid", F.slice(F.filter("list", lambda x: x["neighbour"] != F.col("uid")), 1, k).alias("list"))
-    return own.select(F.col("uid").alias(uid), F.inline("list")).select(uid, "neighbour", F.col("cos").alias("cosine"))
+
+    def lists(pairs: DataFrame, by: str, name: str) -> DataFrame:
+        """(by, name): the best k + 1 rows (-cosine, neighbour) over the pairs of ids ``by``."""
+        few = members.withColumn("row", F.row_number().over(Window.partitionBy(by).orderBy("uid"))).where(F.col("row") <= k + 1)
+        near = pairs.where(F.col("cos") >= least).join(few.select(F.col(by).alias("other"), F.col("uid").alias("neighbour")), "other")
+        ranked = near.withColumn("row", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cos"), "neighbour"))).where(F.col("row") <= k + 1)
+        return ranked.groupBy(F.col("id").alias(by)).agg(F.collect_list(F.struct((-F.col("cos")).alias("o"), "neighbour")).alias(name))
+
+    both = lambda p: p.select(F.col("i").alias("id"), F.col("j").alias("other"), "cos").unionByName(p.select(F.col("j").alias("id"), F.col("i").alias("other"), "cos"))
+    shared, alone = lists(both(scored.where("clear")).unionByName(several), "id", "shared"), lists(both(each), "vid", "alone")
+    none = F.array().cast("array<struct<o:double,neighbour:string>>")
+    near = F.array_sort(F.filter(F.concat(F.coalesce("shared", none), F.coalesce("alone", none)), lambda x: x["neighbour"] != F.col("uid")))
+    best = members.join(shared, "id", "left").join(alone, "vid", "left").select("uid", F.slice(near, 1, k).alias("list"))
+    return best.select(F.col("uid").alias(uid), F.inline("list")).select(uid, "neighbour", (-F.col("o")).alias("cosine"))

@@ -222,3 +222,18 @@ def test_leaks_against_brute_force(spark):
     got = sorted((r.id, r.item) for r in leaked_items(a, "id", "t", b, "item", "t").collect())
     assert [g for g in got if g[0] != 300] == leak_brute(docs, items) and (300, items[4][0]) in got
     assert leaked_items(a.where("false"), "id", "t", b, "item", "t").count() == 0 and leaked_items(a, "id", "t", b.where("false"), "item", "t").count() == 0
+
+
+def test_near_copies_and_scaled_copies_of_a_direction_keep_the_smallest_uids(spark):
+    rng = random.Random(4)
+    base = [1.0, 2.0, -3.0, 0.5]
+    data = []
+    for j in range(150):
+        s = rng.uniform(0.1, 9)
+        data.append((f"scaled{j:03}", [x * s for x in base], 1))
+    data += [(f"near{j:03}", [x + rng.gauss(0, 1e-3) for x in base], 1) for j in range(150)]
+    data += [(f"mid{j:02}", [x + rng.gauss(0, 0.3) for x in base], 1) for j in range(30)]
+    rng.shuffle(data)
+    df = spark.createDataFrame([(*r, 7, 0.5) for r in data], SIM)
+    got = sorted((r.u, r.neighbour, r.cosine) for r in sv.similar_vectors(df, "u", "v", "t", 5, 4, 0.9).collect())
+    assert got == sim_brute(data, 5, 0.9)
