@@ -62,12 +62,22 @@ def concept_sizes(scenes: DataFrame, concept: str = "concept_id", video: str = "
 
 
 def concept_metadata(scenes: DataFrame, concept: str = "concept_id") -> DataFrame:
-    """(concept, metadata): JSON of up to five videos with most scenes, three scenes each in order, with captions."""
+    """(concept, metadata): JSON of all videos, those with most scenes first, each with all its scenes in order, with captions."""
+    return _as_json(_by_video(scenes, concept), concept)
+
+
+def concept_prompt(scenes: DataFrame, concept: str = "concept_id", videos: int = 5, each: int = 3) -> DataFrame:
+    """(concept, metadata): what a prompt shows of ``concept_metadata``: at most ``videos`` videos and the first ``each`` scenes of each."""
+    return _as_json(_by_video(scenes, concept).where(F.col("rank") <= videos).withColumn("scenes", F.slice("scenes", 1, each)), concept)
+
+
+def _by_video(scenes: DataFrame, concept: str) -> DataFrame:
     c = F.coalesce("caption", F.lit("No caption available"))
-    in_video = Window.partitionBy(concept, "video_id")
-    s = scenes.withColumn("n", F.count("*").over(in_video)).withColumn("r", F.row_number().over(in_video.orderBy("scene_id"))).where("r <= 3")
-    v = s.groupBy(concept, "video_id", "n").agg(F.array_sort(F.collect_list(F.struct("scene_id", c.alias("caption")))).alias("scenes"))
-    v = v.withColumn("rank", F.row_number().over(Window.partitionBy(concept).orderBy(F.desc("n"), "video_id"))).where("rank <= 5")
+    v = scenes.groupBy(concept, "video_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("scene_id", c.alias("caption")))).alias("scenes"))
+    return v.withColumn("rank", F.row_number().over(Window.partitionBy(concept).orderBy(F.desc("n"), "video_id")))
+
+
+def _as_json(v: DataFrame, concept: str) -> DataFrame:
     return v.groupBy(concept).agg(F.to_json(F.array_sort(F.collect_list(F.struct("rank", "video_id", "n", "scenes")))).alias("metadata"))
 
 

@@ -115,9 +115,17 @@ def concept_overlap_videos(spark: SparkSession, sf: str) -> DataFrame:
     return cp.co_members(_concepts(spark, sf), "is_test")
 
 
+def _captioned(spark: SparkSession, sf: str) -> DataFrame:
+    captions = table(spark, sf, "documents").groupBy(F.col("doc_id").alias("vec_id")).agg(F.max("text").alias("caption"))
+    return _concepts(spark, sf).join(captions, "vec_id", "left")
+
+
 def concept_metadata(spark: SparkSession, sf: str) -> DataFrame:
-    captions = table(spark, sf, "documents").groupBy(F.col("doc_id").alias("vec_id")).agg(F.substring(F.max("text"), 1, 40).alias("caption"))
-    return cp.concept_metadata(_concepts(spark, sf).join(captions, "vec_id", "left"))
+    return cp.concept_metadata(_captioned(spark, sf))
+
+
+def concept_prompt(spark: SparkSession, sf: str) -> DataFrame:
+    return cp.concept_prompt(_captioned(spark, sf))
 
 
 def video_mean(spark: SparkSession, sf: str) -> DataFrame:
@@ -210,7 +218,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         content_topk_videos, content_votes, content_lean, content_binary_lean, similar_to, similar_overfetch, similar_to_summary, neighbor_videos_avg, similarity_components,
-        similarity_communities, concept_label_distribution, concept_size_report, concept_centroids, concept_overlap_videos, concept_metadata, video_mean, video_representation,
+        similarity_communities, concept_label_distribution, concept_size_report, concept_centroids, concept_overlap_videos, concept_metadata, concept_prompt, video_mean, video_representation,
         edge_type_priors, edge_retrieval_tiered, triple_priors, pair_cosines, concept_assignment, concept_triples, concept_diversity,
     )
 }
