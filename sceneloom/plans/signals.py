@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sceneloom.functions.rst_tree import tree_links, tree_spans
+from sceneloom.functions.vectors import cosine
 from sceneloom.operators import models as ml
 from sceneloom.operators import segmentation as sg
+from sceneloom.operators.concepts import centres
 from sceneloom.operators.evidence import prior
 from sceneloom.plans.discourse import LINKS
 from sceneloom.plans.discourse import clean_links as links
@@ -18,6 +20,8 @@ from sceneloom.sources.writers import scene_index as scene_rows
 from sceneloom.streaming.incremental import new_videos, run_to_table, sessions
 from sceneloom.runtime import cut, shared_dir, table
 
+FIT_ROWS = 50_000  # rows that the triple scorer is fitted on
+
 
 def transcript_gaps(spark: SparkSession, sf: str) -> DataFrame:
     g = sg.gaps(sg.segments(table(spark, sf, "scenes")))
@@ -124,14 +128,20 @@ def cluster_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def triple_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean score of the perceptron by relation over concept triples."""
+    """Mean score of the perceptron by relation over all concept triples, whatever their label; it is fitted on at most FIT_ROWS of those labelled 0 or 1.
+
+    The prior is that of the triple, the cosine that of the two concepts' centres (0 where a concept has none).
+    """
     from pyspark.ml.functions import vector_to_array
 
-    t = table(spark, sf, "scored_candidates").where("video_label in (0, 1) and c_src is not null and c_tgt is not null and rst_type is not null")
+    t = table(spark, sf, "scored_candidates").where("c_src is not null and c_tgt is not null and rst_type is not null")
     num = lambda c: F.regexp_extract(c, r"\d+", 0).cast("double")
-    p = prior(t, "rst_type").withColumnRenamed("rst_type", "rel")
-    rows = cut(t.select(num("c_src").alias("c_src"), num("c_tgt").alias("c_tgt"), F.col("rst_type").alias("rel"), F.col("video_label").alias("label"), F.lit(0.0).alias("cosine")).join(F.broadcast(p), "rel"))
-    fit_on = rows.where(F.pmod(F.xxhash64("c_src", "c_tgt", "rel"), F.lit(100)) < 5).limit(50_000)  # a scorer is fitted on a bounded sample
+    key = ["c_src", "rst_type", "c_tgt"]
+    c = centres(table(spark, sf, "embeddings").withColumn("concept", F.concat(F.lit("concept_"), "label")), "concept", "embedding")
+    near = c.select(F.col("concept").alias("c_src"), F.col("centre").alias("a")).crossJoin(c.select(F.col("concept").alias("c_tgt"), F.col("centre").alias("b"))).select("c_src", "c_tgt", cosine("a", "b").alias("cosine"))
+    t = t.join(prior(t, *key), key, "left").join(near, ["c_src", "c_tgt"], "left")
+    rows = cut(t.select(num("c_src").alias("c_src"), num("c_tgt").alias("c_tgt"), F.col("rst_type").alias("rel"), F.col("video_label").alias("label"), F.coalesce("cosine", F.lit(0.0)).alias("cosine"), "prior"))
+    fit_on = rows.where("label in (0, 1)").where(F.pmod(F.xxhash64("c_src", "c_tgt", "rel"), F.lit(100)) < 5).limit(FIT_ROWS)  # a scorer is fitted on a bounded sample
     out = ml.triple_scorer(fit_on, 64).transform(ml.triple_features(rows, 64))
     return out.groupBy("rel").agg(F.count("*").alias("n"), F.round(F.avg(vector_to_array("probability")[1]), 3).alias("score"))
 
