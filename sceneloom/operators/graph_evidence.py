@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sceneloom.functions.discourse import GLOSS, known_relation
-from sceneloom.functions.text import first_number, relation_label
+from sceneloom.functions.text import first_number, relation_label, same_caption
 from sceneloom.operators.discourse import tree_text, undirected
 
 
@@ -45,12 +45,12 @@ def match_triples(asked: DataFrame, held: DataFrame, limit: int = 200) -> DataFr
 
 
 def hit_captions(hits: DataFrame, captions: DataFrame, n: int = 40) -> DataFrame:
-    """``caption`` for hits(hit, video_id, scene_id, said): the scene's own, else that of the first scene whose caption and ``said`` share ``n`` leading characters, else the video's first."""
+    """``caption`` for hits(hit, video_id, scene_id, said): the scene's own, else that of the first scene whose caption holds the first ``n`` characters of ``said`` or the other way round, else the video's first."""
     own = captions.select("video_id", "scene_id", F.col("caption").alias("own"))
-    prefix = lambda c: F.substring(c, 1, n)
     alike = (
-        hits.where(F.length("said") >= n).select("hit", "video_id", prefix("said").alias("p"))
-        .join(captions.where(F.length("caption") >= n).select("video_id", F.col("scene_id").alias("s"), F.col("caption").alias("c"), prefix("caption").alias("p")), ["video_id", "p"])
+        hits.where("said <> ''").join(own.where("own is not null"), ["video_id", "scene_id"], "left_anti").select("hit", "video_id", "said")
+        .join(captions.where("caption <> ''").select("video_id", F.col("scene_id").alias("s"), F.col("caption").alias("c")), "video_id")
+        .where(same_caption("said", "c", n))
         .groupBy("hit").agg(F.min_by("c", "s").alias("alike"))
     )
     first = captions.where("caption is not null").groupBy("video_id").agg(F.min_by("caption", "scene_id").alias("first"))
