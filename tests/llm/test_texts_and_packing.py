@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sceneloom.llm import answer_defects as ad
 from sceneloom.llm import encoding as en
+from sceneloom.llm import frequent_sequences as fs
 from sceneloom.llm.containers import _dominant, _Stock, pack_documents, pack_sizes
 from sceneloom.llm.frequent_sequences import Diagram, frequent_sequences
 
@@ -26,14 +27,35 @@ def test_diagram_mines_and_counts_exactly(seed):
     data = Counter()
     for _ in range(60):
         data[tuple(rng.randrange(4) for _ in range(rng.randrange(0, 7)))] += rng.randrange(1, 4)
-    d = Diagram(4)
-    root = d.build(list(data.items()))
-    assert d.total[root] == sum(data.values())
+    seqs, weights = list(data), np.array(list(data.values()))
+    sizes = np.array([len(x) for x in seqs])
+    d = Diagram(np.array([x for q in seqs for x in q], np.int64), np.cumsum(sizes), sizes, weights, 4)
+    assert d.root[1].sum() == sum(data.values())
     want = subsequences(data.items(), 4)
-    assert dict(d.mine(root, 10, 4, {})) == {p: n for p, n in want.items() if n >= 10}
-    trie, out = {0: (False, {1: (True, {2: (True, {})})}), 3: (True, {})}, {}
-    d.count(root, trie, (), out)
-    assert out == {p: want[p] for p in ((0, 1), (0, 1, 2), (3,)) if want[p]}
+    assert dict(d.mine(d.root, 10, 4, {})) == {p: n for p, n in want.items() if n >= 10}
+    some = [(0, 1), (0, 1, 2), (3,), (2, 2, 2, 2)]
+    assert d.count(some) == [want[p] for p in some]
+
+
+@pytest.mark.parametrize("chunk", (7, 40))
+def test_frequent_sequences_over_many_chunks(spark, monkeypatch, chunk):
+    """Chunks of few chains report too little and too much; the second pass sets it right."""
+    monkeypatch.setattr(fs, "CHUNK", chunk)
+    rng = random.Random(chunk)
+    data = [(k, [rng.choice("ABCDE") for _ in range(rng.randrange(3, 7))]) for k in range(150)] + [(k, ["X", "A", "Y", "B", "Z"]) for k in range(150, 200)]
+    df = spark.createDataFrame(data, "k int, c array<string>")
+    want = {">".join(p): n for p, n in subsequences([(c, 1) for _, c in data], 4).items() if len(p) >= 2 and n >= 20}
+    assert {r.pattern: r.support for r in frequent_sequences(df, "k", F.col("c"), 0.1, 2, 4).collect()} == want
+
+
+def test_frequent_sequences_where_a_partition_ends_with_few_long_chains(spark):
+    rng = random.Random(5)
+    labels = [f"L{i}" for i in range(30)]
+    data = [(k, [rng.choice(labels[:6]) for _ in range(5)]) for k in range(400)] + [(400 + k, rng.sample(labels, 30)) for k in range(3)]
+    df = spark.createDataFrame(data, "k int, c array<string>").coalesce(1)
+    want = {">".join(p): n for p, n in subsequences([(c, 1) for _, c in data[:400]], 3).items() if len(p) == 3}
+    got = {r.pattern: r.support for r in frequent_sequences(df, "k", F.col("c"), 0.03, 3, 3).collect()}
+    assert got and all(0 <= n - want.get(p, 0) <= 3 and n >= 13 for p, n in got.items()) and {p for p, n in want.items() if n >= 13} <= set(got)
 
 
 def test_frequent_sequences(spark):
