@@ -138,9 +138,13 @@ def tree_links(s: pd.Series) -> pd.Series:
     return s.map(lambda t: _try(links, t))
 
 
+# The marks that tokens are compared without.
+_PLAIN = str.maketrans({"’": "'", "‘": "'", "“": '"', "”": '"', "–": "-", "—": "-", "`": "'"})
+
+
 def plain_token(t: str) -> str:
     """A token in lower case with straight quotes and plain dashes."""
-    return t.strip().lower().translate(str.maketrans({"’": "'", "‘": "'", "“": '"', "”": '"', "–": "-", "—": "-", "`": "'"}))
+    return t.strip().lower().translate(_PLAIN)
 
 
 def align_units(tokens: list[str], units: list[str]) -> list[int]:
@@ -156,3 +160,16 @@ def align_units(tokens: list[str], units: list[str]) -> list[int]:
     if len(out) != len(tokens):
         raise ValueError("tokens are left over")
     return out
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def aligned_units(tokens: pd.Series, units: pd.Series) -> pd.Series:
+    """``align_units`` of arrays of tokens and units, one document a row; null where they differ or either is null."""
+
+    def one(a, b) -> list[int] | None:
+        try:
+            return None if a is None or b is None else align_units(list(a), list(b))
+        except ValueError:
+            return None
+
+    return pd.Series([one(a, b) for a, b in zip(tokens, units)], dtype=object)

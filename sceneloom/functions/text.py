@@ -61,6 +61,12 @@ def timecode_seconds(c: str | Column) -> Column:
     return F.when(F.size(p).between(1, 3), total)
 
 
+def duration(frames: Column, fps: Column, default: float = 30.0) -> Column:
+    """Seconds of a video; a missing or zero rate is the default, missing frames make 0."""
+    rate = F.when((fps > 0) & ~F.isnan(fps.cast("double")), fps.cast("double")).otherwise(default)
+    return F.coalesce(frames.cast("double") / rate, F.lit(0.0))
+
+
 def span_start(c: str | Column) -> Column:
     return F.get(_c(c), F.lit(0))
 

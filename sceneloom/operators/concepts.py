@@ -48,6 +48,18 @@ def weighted_representation(df: DataFrame, queries: DataFrame, key: str, vec: st
     return w.groupBy(key).agg(vector_to_array(mean["mean"]).alias("v"))
 
 
+def text_queries(scenes: DataFrame, key: str, vec: str, text: str) -> DataFrame:
+    """(key, q): mean of the vectors of a group's texts; blank texts don't count, and a group of none but blank ones has no row."""
+    return means(scenes.where(F.trim(F.coalesce(F.col(text), F.lit(""))) != ""), key, vec).withColumnRenamed("mean", "q")
+
+
+def representation(scenes: DataFrame, key: str, vec: str, text: str, text_vec: str, temperature: float = 0.01) -> DataFrame:
+    """(key, v): ``weighted_representation`` by the mean text vector; the plain mean for groups without any text."""
+    q = text_queries(scenes, key, text_vec, text)
+    plain = means(scenes.join(q.select(key), key, "left_anti"), key, vec).withColumnRenamed("mean", "v")
+    return weighted_representation(scenes, q, key, vec, temperature).unionByName(plain)
+
+
 def label_distribution(scenes: DataFrame, concept: str = "concept_id", video: str = "video_id", label: str = "video_label") -> DataFrame:
     """(concept, label, videos): distinct videos, not scenes, per label."""
     return scenes.groupBy(concept, label).agg(F.countDistinct(video).alias("videos"))
@@ -61,6 +73,33 @@ def concept_sizes(scenes: DataFrame, concept: str = "concept_id", video: str = "
     )
 
 
+def network_report(concepts: DataFrame, members: DataFrame, concept: str = "concept_id") -> DataFrame:
+    """(concepts, linked_scenes, avg_scenes, max_scenes, min_scenes) over all concepts; those without a member count with 0."""
+    n = members.groupBy(concept).agg(F.count("*").alias("n"))
+    each = concepts.select(concept).distinct().join(n, concept, "left").select(F.coalesce("n", F.lit(0)).alias("n"))
+    return each.agg(
+        F.count("*").alias("concepts"), F.coalesce(F.sum("n"), F.lit(0)).alias("linked_scenes"), F.avg("n").alias("avg_scenes"), F.max("n").alias("max_scenes"), F.min("n").alias("min_scenes")
+    )
+
+
+def top_captions(scenes: DataFrame, n: int = 3, concept: str = "concept_id", caption: str = "caption") -> DataFrame:
+    """(concept, caption, rank): the ``n`` longest different captions of each concept, ties in code-point order; blank ones don't count."""
+    c = scenes.where(F.trim(caption) != "").select(concept, caption).distinct()
+    w = Window.partitionBy(concept).orderBy(F.desc(F.length(caption)), caption)
+    return c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def widest_concepts(distribution: DataFrame, group: str, n: int = 5, concept: str = "concept_id", label: str = "video_label") -> DataFrame:
+    """(group, concept, labels, rank): of each group's concepts the ``n`` with most distinct labels, ties by concept."""
+    d = distribution.groupBy(group, concept).agg(F.countDistinct(label).alias("labels"))
+    return d.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("labels"), concept))).where(F.col("rank") <= n)
+
+
+def scene_concept(members: DataFrame, scenes: DataFrame, on: str, concept: str = "concept_id") -> DataFrame:
+    """``scenes`` with one concept each, the smallest of several; null for those of none."""
+    return scenes.join(members.groupBy(on).agg(F.min(concept).alias(concept)), on, "left")
+
+
 def concept_metadata(scenes: DataFrame, concept: str = "concept_id") -> DataFrame:
     """(concept, metadata): JSON of all videos, those with most scenes first, each with all its scenes in order, with captions."""
     return _as_json(_by_video(scenes, concept), concept)
@@ -81,12 +120,22 @@ def _as_json(v: DataFrame, concept: str) -> DataFrame:
     return v.groupBy(concept).agg(F.to_json(F.array_sort(F.collect_list(F.struct("rank", "video_id", "n", "scenes")))).alias("metadata"))
 
 
-def co_members(scenes: DataFrame, is_query: str, most: int = 5, concept: str = "concept_id", video: str = "video_id") -> DataFrame:
-    """(query, concept, scene_count, video, overlap): for each query video its ``most`` strongest concepts, and the other videos' distinct scenes in them."""
+def co_members(scenes: DataFrame, is_query: str, most: int = 5, rows: int = 20, concept: str = "concept_id", video: str = "video_id", label: str = "video_label", predicted: str | None = None) -> DataFrame:
+    """(query, concept, scene_count, video, label, overlap, rank): for each query video its ``most`` strongest concepts and the other videos' distinct scenes in them, the ``rows`` best rows a query.
+
+    Rows go by scene_count, then overlap (both falling), then concept and video. Other videos need a label, or else a
+    predicted one; a concept without any stays as a row with a null video and overlap 0. As a query's rows of one
+    concept differ in the overlap only, a concept needs no more than its ``rows`` first videos, so these are picked
+    before they meet the queries, and a giant concept meets nobody in full.
+    """
     q = scenes.where(is_query).groupBy(F.col(video).alias("query"), concept).agg(F.count("*").alias("scene_count"))
     q = q.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("scene_count"), concept))).where(F.col("r") <= most).drop("r")
-    other = scenes.where(f"not ({is_query})").groupBy(concept, video).agg(F.countDistinct("scene_id").alias("overlap"))
-    return q.join(other, concept).select("query", concept, "scene_count", video, "overlap")
+    known = F.coalesce(label, predicted) if predicted else F.col(label)
+    other = scenes.where(f"not ({is_query})").where(known.isNotNull()).groupBy(concept, video).agg(F.max(known).alias("label"), F.countDistinct("scene_id").alias("overlap"))
+    other = other.withColumn("r", F.row_number().over(Window.partitionBy(concept).orderBy(F.desc("overlap"), video))).where(F.col("r") <= rows).drop("r")
+    both = q.join(other, concept, "left").select("query", concept, "scene_count", video, "label", F.coalesce("overlap", F.lit(0)).alias("overlap"))
+    w = Window.partitionBy("query").orderBy(F.desc("scene_count"), F.desc("overlap"), concept, video)
+    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= rows)
 
 
 def assign(scenes: DataFrame, centres: DataFrame, key: str, vec: str, top: int = 1, temperature: float = 0.1) -> DataFrame:

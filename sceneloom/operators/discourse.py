@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sceneloom.functions.discourse import CANONICAL, DYNAMIC, known_relation
+from sceneloom.functions.discourse import CANONICAL, DYNAMIC, GLOSS, known_relation, relation_code
 from sceneloom.functions.text import canonical_video_id
 from sceneloom.operators.hierarchy import resolve_hierarchy
 from sceneloom.runtime import Rounds, cut
 
 LARGEST = 100_000  # links of a video that one task walks
+CHAINS = 200_000  # rows of asked chains sent to the executors at once, some 20 MB
+SCORED = 2_000  # library rows that meet them at once
 
 
 def clean_links(links: DataFrame, samples: DataFrame) -> DataFrame:
@@ -87,10 +90,10 @@ def topology(clean: DataFrame) -> DataFrame:
 
 
 def undirected(clean: DataFrame) -> DataFrame:
-    """(video_id, a, b, rel): every link in both directions once; of several relations between two scenes the greatest label holds."""
+    """(video_id, a, b, rel): every link in both directions once; of several relations between two scenes the one with the greatest code holds."""
     there = clean.select("video_id", F.col("parent").alias("a"), F.col("child").alias("b"), "rel")
     back = clean.select("video_id", F.col("child").alias("a"), F.col("parent").alias("b"), "rel")
-    return there.unionByName(back).where("a <> b").groupBy("video_id", "a", "b").agg(F.max("rel").alias("rel"))
+    return there.unionByName(back).where("a <> b").groupBy("video_id", "a", "b").agg(F.element_at(F.array(*map(F.lit, GLOSS)), F.max(relation_code("rel")) + 1).alias("rel"))
 
 
 def linked_scene(clean: DataFrame) -> DataFrame:
@@ -138,19 +141,74 @@ def relation_paths(clean: DataFrame, shortest: int = 2, longest: int = 4) -> Dat
     return reduce(DataFrame.unionByName, out)
 
 
-def structural_matches(paths: DataFrame, is_query: Column, limit: int = 50) -> DataFrame:
-    """(query_id, video_id, max_nodes, matched): videos that share a relation chain with a query video.
+def asked_chains(paths: DataFrame, limit: int = 50) -> DataFrame:
+    """(query_id, chain): the relation chains of each video's ``limit`` longest paths, ties in the order of chain and links; each once."""
+    w = Window.partitionBy("video_id").orderBy(F.desc(F.size("chain")), F.array_join("chain", ">"), "links")
+    longest = paths.withColumn("row", F.row_number().over(w)).where(F.col("row") <= limit)
+    return longest.select(F.col("video_id").alias("query_id"), F.array_join("chain", ">").alias("chain")).distinct()
 
-    A query keeps its ``limit`` longest distinct chains (ties by chain); ``is_query`` is over paths' columns. Chains
-    are made distinct before they meet, so the join is on (chain) between sets.
+
+def structural_matches(asked: DataFrame, paths: DataFrame, k: int = 5) -> DataFrame:
+    """(query_id, video_id, max_nodes, matched, rank): the ``k`` library videos of each query with the longest common chain, then most distinct paths of common chains, then by video.
+
+    ``asked``(query_id, chain) is a stated query set, ``paths``(video_id, chain, nodes, links) the library's. The asked
+    chains go to the executors in blocks of at most CHAINS rows, and every partition of the library, one row a video
+    and chain, scores its videos against a block and keeps its best ``k`` per query. So a chain that all videos have
+    makes no pairs of rows, and what is shuffled afterwards is queries x k per partition. A query is no match of its own.
+    """
+    kind = paths.schema["video_id"].dataType.simpleString()
+    out = f"query_id {kind}, video_id {kind}, max_nodes int, matched bigint"
+    held = paths.select("video_id", F.array_join("chain", ">").alias("chain"), F.size("chain").alias("n"), "nodes", "links").groupBy("video_id", "chain", "n").agg(F.countDistinct("nodes", "links").alias("paths"))
+    held = held.repartition("video_id").sortWithinPartitions("video_id")
+    wanted = cut(asked.select("query_id", "chain").distinct())
+    parts = []
+    for b in range(blocks := max(1, -(-wanted.count() // CHAINS))):
+        ask = wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas()
+        if not len(ask):
+            continue
+        shared = paths.sparkSession.sparkContext.broadcast(ask)
+
+        def score(it: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            best, rest = [], None
+            for pdf in it:
+                # rows are sorted by video: the last one of a batch may go on in the next
+                pdf = pdf if rest is None else pd.concat([rest, pdf])
+                last = pdf["video_id"] == pdf["video_id"].iloc[-1]
+                rest = pdf[last]
+                best = [_best_matches([*best, _scored(shared.value, pdf[~last])], k)]
+            if rest is not None:
+                yield _best_matches([*best, _scored(shared.value, rest)], k)
+
+        parts.append(held.mapInPandas(score, out))
+    if not parts:
+        return paths.sparkSession.createDataFrame([], f"{out}, rank int")
+    w = Window.partitionBy("query_id").orderBy(F.desc("max_nodes"), F.desc("matched"), "video_id")
+    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _scored(ask: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+    parts = []
+    for a in range(0, len(held), SCORED):  # rows of a batch; those of one video in two parts are added up below
+        m = ask.merge(held.iloc[a : a + SCORED], on="chain")
+        m = m[m["query_id"] != m["video_id"]]
+        parts.append(m.groupby(["query_id", "video_id"], as_index=False).agg(max_nodes=("n", "max"), matched=("paths", "sum")))
+    if not parts:
+        return pd.DataFrame({"query_id": [], "video_id": [], "max_nodes": [], "matched": []})
+    both = pd.concat(parts).groupby(["query_id", "video_id"], as_index=False).agg({"max_nodes": "max", "matched": "sum"})
+    return both.assign(max_nodes=both["max_nodes"] + 1)
+
+
+def _best_matches(parts: list[pd.DataFrame], k: int) -> pd.DataFrame:
+    return pd.concat(parts).sort_values(["query_id", "max_nodes", "matched", "video_id"], ascending=[True, False, False, True]).groupby("query_id", sort=False).head(k)
+
+
+def match_details(matches: DataFrame, asked: DataFrame, paths: DataFrame) -> DataFrame:
+    """(query_id, video_id, chain, nodes, links, length): a row for each path of a matched video whose chain its query asks for; ``length`` counts scenes.
+
+    Only the matches that ``structural_matches`` kept are joined back, and rows stay rows: nothing is collected.
     """
-    key = F.array_join("chain", ">").alias("chain")
-    size = F.size("chain").alias("n")
-    chains = paths.select("video_id", key, size, is_query.alias("q"), F.array_join("nodes", ",").alias("nodes"))
-    w = Window.partitionBy("video_id").orderBy(F.desc("n"), "chain")
-    asked = chains.where("q").select("video_id", "chain", "n").distinct().withColumn("row", F.row_number().over(w)).where(F.col("row") <= limit).select(F.col("video_id").alias("query_id"), "chain")
-    held = chains.where("not q").groupBy("video_id", "chain", "n").agg(F.countDistinct("nodes").alias("paths"))
-    return asked.join(held, "chain").groupBy("query_id", "video_id").agg((F.max("n") + 1).alias("max_nodes"), F.sum("paths").alias("matched"))
+    p = paths.select("video_id", F.array_join("chain", ">").alias("chain"), "nodes", "links")
+    return matches.select("query_id", "video_id").join(asked, "query_id").join(p, ["video_id", "chain"]).select("query_id", "video_id", "chain", "nodes", "links", F.size("nodes").alias("length")).distinct()
 
 
 def depths(clean: DataFrame, largest: int = LARGEST) -> DataFrame:

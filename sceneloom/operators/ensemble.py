@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 LABELS = (0, 1, 2)
 
 
-def ensemble(llm: Column, *channels: tuple[Column, Column], labels: tuple[int, ...] = LABELS) -> Column:
+def ensemble(llm: Column, *channels: tuple[Column, Column], labels: tuple[int, ...] = LABELS, first_only: bool = False) -> Column:
     """The label with most valid votes of the verdict and the channels, each (lean, confidence).
 
     If two labels lead: the first channel with a strong valid lean, else the verdict if valid, else the first valid
-    lean. -1 without any valid vote.
+    lean, or with ``first_only`` the first channel's lean whatever it is. -1 without any valid vote.
     """
     valid = lambda c: F.when(c.isin(*labels), c)
     cast = [valid(llm), *(valid(lean) for lean, _ in channels)]
@@ -23,7 +23,7 @@ def ensemble(llm: Column, *channels: tuple[Column, Column], labels: tuple[int, .
     leaders = reduce(lambda a, b: a + b, (F.when(c == most, 1).otherwise(0) for c in n.values()))
     winner = reduce(lambda w, x: w.when(n[x] == most, x), labels[1:], F.when(n[labels[0]] == most, labels[0]))
     strong = [F.when(conf == "strong", valid(lean)) for lean, conf in channels]
-    tie = F.coalesce(*strong, *cast)
+    tie = F.coalesce(*strong, cast[0], channels[0][0]) if first_only and channels else F.coalesce(*strong, *cast)
     return F.when(most == 0, -1).when(leaders > 1, tie).otherwise(winner)
 
 

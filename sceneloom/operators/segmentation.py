@@ -34,35 +34,57 @@ def gap_boundaries(segs: DataFrame, least: float = 1.5) -> DataFrame:
     return b.select("video_id", F.explode(spaced("m", least)).alias("boundary"))
 
 
-def silence_runs(signal: DataFrame, key: str, at: str, level: str, below: float, least: int) -> DataFrame:
-    """(key, first, last, n): runs of at least ``least`` consecutive samples under a level, by the difference of two row numbers."""
+def apart(points: DataFrame, key: str, at: str, gap: float | None) -> DataFrame:
+    """(key, at): of each series' points, in order, those at least ``gap`` after the last one kept; a series' points meet in one row. All of them without a gap."""
+    if gap is None:
+        return points
+    return points.groupBy(key).agg(F.collect_list(at).alias("_p")).select(key, F.explode(spaced("_p", gap)).alias(at))
+
+
+def silence_boundaries(signal: DataFrame, key: str, at: str, level: str, below: float, least: int, gap: float | None = None) -> DataFrame:
+    """(key, at): the middle sample of every silent run (the later of two), none within ``gap`` of the last one kept."""
+    s = _runs(signal, key, at, level, below)
+    w = Window.partitionBy(key, "run")
+    s = s.withColumn("n", F.count("*").over(w)).withColumn("j", F.row_number().over(w.orderBy(at)) - 1)
+    return apart(s.where((F.col("n") >= least) & (F.col("j") == F.floor(F.col("n") / 2))).select(key, at), key, at, gap)
+
+
+def _runs(signal: DataFrame, key: str, at: str, level: str, below: float) -> DataFrame:
     w = Window.partitionBy(key).orderBy(at)
     s = signal.select(key, at, (F.col(level) < below).alias("quiet")).withColumn("i", F.row_number().over(w))
     run = F.col("i") - F.row_number().over(Window.partitionBy(key, "quiet").orderBy(at))
-    return s.withColumn("run", run).where("quiet").groupBy(key, "run").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n")).where(F.col("n") >= least).drop("run")
+    return s.withColumn("run", run).where("quiet").select(key, at, "run")
+
+
+def silence_runs(signal: DataFrame, key: str, at: str, level: str, below: float, least: int) -> DataFrame:
+    """(key, first, last, n): runs of at least ``least`` consecutive samples under a level, by the difference of two row numbers."""
+    return _runs(signal, key, at, level, below).groupBy(key, "run").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n")).where(F.col("n") >= least).drop("run")
 
 
 def smoothed(signal: DataFrame, key: str, at: str, value: str, k: int) -> DataFrame:
-    """``smooth``: mean of ``k`` samples with zeros beyond both ends, as a convolution of the same length gives; an even window sits half a step early."""
+    """``smooth``: mean of ``k`` samples with zeros beyond both ends, as a convolution of the same length gives; an even window sits half a step early. A series of fewer than ``k`` samples stays as it is."""
     ahead = (k - 1) // 2
     w = Window.partitionBy(key).orderBy(at).rowsBetween(ahead - k + 1, ahead)
-    return signal.withColumn("smooth", F.sum(value).over(w) / k)
+    enough = F.count("*").over(Window.partitionBy(key)) >= k
+    return signal.withColumn("smooth", F.when(enough, F.sum(value).over(w) / k).otherwise(F.col(value)))
 
 
-def spikes(signal: DataFrame, key: str, at: str, value: str, k: int = 10, sigma: float = 2.5) -> DataFrame:
-    """(key, at, rise): samples after which the smoothed value rises by more than mean + sigma deviations of all rises of the series."""
+def spikes(signal: DataFrame, key: str, at: str, value: str, k: int = 10, sigma: float = 2.5, gap: float | None = None) -> DataFrame:
+    """(key, at, rise): samples after which the smoothed value rises by more than mean + sigma deviations of all rises of the series, none within ``gap`` of the last one kept."""
     w = Window.partitionBy(key).orderBy(at)
     d = smoothed(signal, key, at, value, k).withColumn("rise", F.lead("smooth").over(w) - F.col("smooth")).where("rise is not null")
     limit = d.groupBy(key).agg((F.avg("rise") + sigma * F.stddev_pop("rise")).alias("limit"))
-    return d.join(limit, key).where("rise > limit").select(key, at, "rise")
+    found = d.join(limit, key).where("rise > limit").select(key, at, "rise")
+    return found if gap is None else apart(found, key, at, gap).join(found, [key, at])
 
 
-def maxima(signal: DataFrame, key: str, at: str, value: str, k: int = 5, sigma: float = 1.8) -> DataFrame:
-    """(key, at, smooth): local maxima of the smoothed value above mean + sigma deviations of the series."""
+def maxima(signal: DataFrame, key: str, at: str, value: str, k: int = 5, sigma: float = 1.8, gap: float | None = None) -> DataFrame:
+    """(key, at, smooth): local maxima of the smoothed value above mean + sigma deviations of the series, none within ``gap`` of the last one kept."""
     w = Window.partitionBy(key).orderBy(at)
     s = smoothed(signal, key, at, value, k).withColumn("was", F.lag("smooth").over(w)).withColumn("next", F.lead("smooth").over(w))
     limit = s.groupBy(key).agg((F.avg("smooth") + sigma * F.stddev_pop("smooth")).alias("limit"))
-    return s.join(limit, key).where("smooth > was and smooth >= next and smooth > limit").select(key, at, "smooth")
+    found = s.join(limit, key).where("smooth > was and smooth >= next and smooth > limit").select(key, at, "smooth")
+    return found if gap is None else apart(found, key, at, gap).join(found, [key, at])
 
 
 def nodes(boundaries: str | Column, duration: str | Column, least: int = 3, gap: float = 1.0, margin: float = 1.5) -> Column:

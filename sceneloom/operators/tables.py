@@ -13,6 +13,30 @@ def upsert(current: DataFrame, new: DataFrame, keys: list[str], order: str) -> D
     return both.groupBy(*keys).agg(row).select(*keys, "_row.*")
 
 
+def merge_nodes(current: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """``upsert`` of graph nodes: rows with a null in their key are no nodes; fields that the new row lacks keep their value."""
+    known = " and ".join(f"{k} is not null" for k in keys)
+    both = current.where(known).unionByName(new.where(known), allowMissingColumns=True)
+    return both.groupBy(*keys).agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in both.columns if c not in keys))
+
+
+def merge_edges(current: DataFrame, new: DataFrame, ends: list[str], kind: str) -> DataFrame:
+    """Each edge (ends, kind) once, of both tables; edges without an end or a kind are none."""
+    known = " and ".join(f"{c} is not null" for c in [*ends, kind])
+    return current.select(*ends, kind).unionByName(new.select(*ends, kind)).where(known).distinct()
+
+
+def add_labels(current: DataFrame, index: DataFrame, present: DataFrame, key: str, label: str) -> DataFrame:
+    """The label map with what ``index``(key, label) says of keys that are ``present``; a pair that is there stays once, a key may stand under two labels."""
+    rows = index.where(F.col(key).isNotNull() & F.col(label).isNotNull()).join(present.select(key).distinct(), key, "left_semi")
+    return current.select(key, label).unionByName(rows.select(key, label)).distinct()
+
+
+def add_keys(current: DataFrame, more: DataFrame, key: str) -> DataFrame:
+    """The list of keys that were tried, with those of ``more``."""
+    return current.select(key).unionByName(more.select(key)).where(F.col(key).isNotNull()).distinct()
+
+
 def merge_fields(cache: DataFrame, update: DataFrame, keys: list[str], drop: tuple[str, ...] = ("error",)) -> DataFrame:
     """Fields of ``update`` over those of ``cache`` where they are not null; rows of either side stay; ``drop`` goes where a key was updated."""
     a, b = cache.withColumn("_a", F.lit(True)), update.select(*keys, *[F.col(c).alias(f"_n_{c}") for c in update.columns if c not in keys], F.lit(True).alias("_b"))

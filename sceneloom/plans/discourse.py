@@ -81,12 +81,6 @@ def relation_paths(spark: SparkSession, sf: str) -> DataFrame:
     return p.groupBy(F.array_join("chain", ">").alias("chain")).agg(F.count("*").alias("paths"), F.countDistinct("video_id").alias("videos"))
 
 
-def structural_match(spark: SparkSession, sf: str) -> DataFrame:
-    paths = cut(op.relation_paths(cut(_links(spark, sf))))
-    test = table(spark, sf, "video_samples").where("lower(trim(split)) = 'test'").select("video_id", F.lit(True).alias("q")).distinct()
-    return op.structural_matches(paths.join(test, "video_id", "left"), F.coalesce("q", F.lit(False)))
-
-
 def scene_depth(spark: SparkSession, sf: str) -> DataFrame:
     return op.depths(_links(spark, sf))
 
@@ -101,16 +95,17 @@ def discourse_tree(spark: SparkSession, sf: str) -> DataFrame:
 
 _NORM = "replace(replace(upper(trim({})), ' ', '_'), '-', '_')"
 _KNOWN = "(" + ", ".join(f"'{t}'" for t in GLOSS) + ")"
+_ORDER = "[" + ", ".join(f"'{t}'" for t in GLOSS) + "]"
 LINKS = rf"""
 with recursive l as (select video_id, link_pos, arg_max({{'s': src, 't': tgt, 'r': rel}}, ingested_at) as e from rst_links group by 1, 2),
 s as (select regexp_extract(video_id, '([A-Za-z0-9_-]{{11}})(\.[A-Za-z0-9]+)?\s*$', 1) as video_id, any_value(scene_ids) as ids
   from video_samples where scene_ids is not null group by 1),
 k as (select video_id, link_pos, e.s as src, e.t as tgt, case when {_NORM.format('e.r')} in {_KNOWN} then {_NORM.format('e.r')} else 'JOINT' end as rel,
   ids[e.s] as parent, ids[e.t] as child from l join s using (video_id) where e.s between 1 and len(ids) and e.t between 1 and len(ids)),
-u as (select video_id, a, b, max(rel) as rel from (select video_id, parent as a, child as b, rel from k union all select video_id, child, parent, rel from k) where a <> b group by 1, 2, 3)
+u as (select video_id, a, b, arg_max(rel, list_position({_ORDER}, rel)) as rel from (select video_id, parent as a, child as b, rel from k union all select video_id, child, parent, rel from k) where a <> b group by 1, 2, 3)
 """
 _PHRASE = "case " + " ".join(f"when r = '{k}' then '{v}'" for k, v in GLOSS.items()) + " else replace(lower(r), '_', ' ') end"
-_PATHS = """, p2 as (select a.video_id, b.child as head, [a.rel, b.rel] as chain, [a.parent, a.child, b.child] as nodes, [a.link_pos, b.link_pos] as links
+PATHS = """, p2 as (select a.video_id, b.child as head, [a.rel, b.rel] as chain, [a.parent, a.child, b.child] as nodes, [a.link_pos, b.link_pos] as links
   from k a join k b on a.video_id = b.video_id and a.child = b.parent and a.link_pos <> b.link_pos),
 p3 as (select a.video_id, b.child as head, list_append(chain, b.rel) as chain, list_append(nodes, b.child) as nodes, list_append(links, b.link_pos) as links
   from p2 a join k b on a.video_id = b.video_id and a.head = b.parent and not list_contains(a.links, b.link_pos)),
@@ -122,7 +117,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         clean_links, edge_index, link_void_reasons, relation_normalize, chain_explained, relation_statistics, discourse_summary, relation_sequence, topology_vector,
-        undirected_links, linked_scene, local_subgraph_context, two_hop_subgraph, relation_paths, structural_match, scene_depth, path_to_root, discourse_tree,
+        undirected_links, linked_scene, local_subgraph_context, two_hop_subgraph, relation_paths, scene_depth, path_to_root, discourse_tree,
     )
 }
 SQL = {
@@ -153,12 +148,7 @@ select video_id, scene_id, coalesce(p, c) as linked from p full join c using (vi
 h as (select video_id, s, 0 as h from h0 union all select h0.video_id, u.b, 1 from h0 join u on h0.video_id = u.video_id and h0.s = u.a
   union all select h0.video_id, v.b, 2 from h0 join u on h0.video_id = u.video_id and h0.s = u.a join u v on u.video_id = v.video_id and u.b = v.a)
 select video_id, s as scene_id, min(h) as hops from h group by 1, 2""",
-    "relation_paths": LINKS + _PATHS + "select array_to_string(chain, '>') as chain, count(*) as paths, count(distinct video_id) as videos from p group by 1",
-    "structural_match": LINKS + _PATHS + """, t as (select distinct video_id from video_samples where lower(trim(split)) = 'test'),
-q as (select video_id as query_id, chain, row_number() over (partition by video_id order by len(chain) desc, array_to_string(chain, '>')) as r
-  from (select distinct video_id, chain from p where video_id in (from t)) qualify r <= 50),
-h as (select video_id, chain, count(distinct nodes) as n from p where video_id not in (from t) group by 1, 2)
-select query_id, video_id, max(len(chain))::int + 1 as max_nodes, sum(n)::bigint as matched from q join h using (chain) group by 1, 2""",
+    "relation_paths": LINKS + PATHS + "select array_to_string(chain, '>') as chain, count(*) as paths, count(distinct video_id) as videos from p group by 1",
     "scene_depth": LINKS + """, nodes as (select distinct video_id, s from (select video_id, parent as s from k union all select video_id, child from k)),
 root as (select video_id, coalesce(min(parent) filter (rel = 'ROOT'), min(least(parent, child))) as s, count(*) as n from k group by 1),
 w as (select video_id, s, 0 as d, n from root union select w.video_id, u.b, w.d + 1, w.n from w join u on w.video_id = u.video_id and w.s = u.a where w.d < w.n and w.d < 450)

@@ -20,6 +20,7 @@ from sceneloom.sources.writers import scene_index as scene_rows
 from sceneloom.streaming.incremental import new_videos, run_to_table, sessions
 from sceneloom.runtime import cut, shared_dir, table
 
+GAP = 300.0  # least distance of two boundaries of a signal, in event numbers
 FIT_ROWS = 50_000  # rows that the triple scorer is fitted on
 
 
@@ -40,12 +41,16 @@ def silence_runs(spark: SparkSession, sf: str) -> DataFrame:
     return sg.silence_runs(_signal(spark, sf), "user_id", "event_id", "value", 10.0, 2)
 
 
+def silence_boundaries(spark: SparkSession, sf: str) -> DataFrame:
+    return sg.silence_boundaries(_signal(spark, sf), "user_id", "event_id", "value", 10.0, 2, GAP)
+
+
 def signal_spikes(spark: SparkSession, sf: str) -> DataFrame:
-    return sg.spikes(_signal(spark, sf), "user_id", "event_id", "value").select("user_id", "event_id", F.round("rise", 6).alias("rise"))
+    return sg.spikes(_signal(spark, sf), "user_id", "event_id", "value", sigma=1.0, gap=GAP).select("user_id", "event_id", F.round("rise", 6).alias("rise"))
 
 
 def signal_maxima(spark: SparkSession, sf: str) -> DataFrame:
-    return sg.maxima(_signal(spark, sf), "user_id", "event_id", "value").select("user_id", "event_id", F.round("smooth", 6).alias("smooth"))
+    return sg.maxima(_signal(spark, sf), "user_id", "event_id", "value", sigma=0.5, gap=GAP).select("user_id", "event_id", F.round("smooth", 6).alias("smooth"))
 
 
 def video_nodes(spark: SparkSession, sf: str) -> DataFrame:
@@ -102,12 +107,12 @@ def event_sessions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_new_videos(spark: SparkSession, sf: str) -> DataFrame:
-    """The same through a stream: every video once, written exactly once."""
+    """The same through a stream: every video once, written exactly once; rows may be four months late."""
     src = table(spark, sf, "video_samples").select("video_id", "ingested_at")
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     src.write.parquet(f"{at}/in")
     stream = spark.readStream.schema(src.schema).parquet(f"{at}/in")
-    return run_to_table(new_videos(stream, "video_id", "ingested_at", "2000 days"), f"{at}/out", f"{at}/log").select("video_id")
+    return run_to_table(new_videos(stream, "video_id", "ingested_at", "150 days"), f"{at}/out", f"{at}/log").select("video_id")
 
 
 def concept_kmeans(spark: SparkSession, sf: str) -> DataFrame:
@@ -127,6 +132,13 @@ def cluster_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
     return d.withColumn("largest_share", F.round("largest_share", 6))
 
 
+def cluster_silhouette(spark: SparkSession, sf: str) -> DataFrame:
+    """Sizes and silhouette of the clusters of ``concept_kmeans``."""
+    e = table(spark, sf, "embeddings")
+    c = cut(ml.clustered(ml.cluster_model(e, "embedding", 10, dims=8), e, "embedding").select("cluster", "embedding"))
+    return ml.diagnostics(c).withColumn("silhouette", F.lit(round(ml.silhouette(c, "embedding"), 4)))
+
+
 def triple_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Mean score of the perceptron by relation over all concept triples, whatever their label; it is fitted on at most FIT_ROWS of those labelled 0 or 1.
 
@@ -149,8 +161,8 @@ def triple_scores(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        transcript_gaps, stt_gap_boundaries, silence_runs, signal_spikes, signal_maxima, video_nodes, transcript_alignment, tree_to_links, tree_to_spans, validated_videos, scene_index,
-        table_counts, event_sessions, stream_new_videos, concept_kmeans, concept_mixture, cluster_diagnostics, triple_scores,
+        transcript_gaps, stt_gap_boundaries, silence_runs, silence_boundaries, signal_spikes, signal_maxima, video_nodes, transcript_alignment, tree_to_links, tree_to_spans, validated_videos, scene_index,
+        table_counts, event_sessions, stream_new_videos, concept_kmeans, concept_mixture, cluster_diagnostics, cluster_silhouette, triple_scores,
     )
 }
 _SEGS = """
@@ -160,8 +172,10 @@ t as (select video_id, scene_id, i, start_s[i] as a, end_s[i] as b from g where
 p as (select video_id, a, lag(b) over (partition by video_id order by a, b, scene_id, i) as q from t)
 """
 _SMOOTH = """
-with e as (select user_id, event_id, value from events where value is not null),
-m as (select *, sum(value) over (partition by user_id order by event_id rows between {} preceding and {} following) / {} as smooth from e)
+with recursive e as (select user_id, event_id, value from events where value is not null),
+m as (select *, case when count(*) over (partition by user_id) >= {2} then sum(value) over (partition by user_id order by event_id rows between {0} preceding and {1} following) / {2} else value end as smooth from e)
+"""
+_APART = """, ap as (select user_id, min(event_id) as event_id from pts group by 1 union all select ap.user_id, (select min(p.event_id) from pts p where p.user_id = ap.user_id and p.event_id - ap.event_id >= 300) from ap where ap.event_id is not null)
 """
 SQL = {
     "transcript_gaps": _SEGS + "select video_id, round((a + q) / 2, 4) as middle, round(a - q, 4) as gap from p where a - q >= 1.5",
@@ -172,10 +186,14 @@ select video_id, round(m, 4) as boundary from k where m is not null""",
 r as (select *, i - row_number() over (partition by user_id, q order by event_id) as run from e)
 select user_id, min(event_id) as first, max(event_id) as last, count(*) as n from r where q group by user_id, run having count(*) >= 2""",
     "signal_spikes": _SMOOTH.format(5, 4, 10) + """, d as (select *, lead(smooth) over (partition by user_id order by event_id) - smooth as rise from m),
-l as (select user_id, avg(rise) + 2.5 * stddev_pop(rise) as limit_ from d group by 1) select user_id, event_id, round(rise, 6) as rise from d join l using (user_id) where rise > limit_""",
+l as (select user_id, avg(rise) + 1.0 * stddev_pop(rise) as limit_ from d group by 1), pts as (select user_id, event_id, rise from d join l using (user_id) where rise > limit_)""" + _APART + """
+select user_id, event_id, round(rise, 6) as rise from pts join ap using (user_id, event_id)""",
+    "silence_boundaries": """with recursive e as (select user_id, event_id, value < 10.0 as q, row_number() over (partition by user_id order by event_id) as i from events where value is not null),
+r as (select *, i - row_number() over (partition by user_id, q order by event_id) as run from e), c as (select *, count(*) over (partition by user_id, run) as n, row_number() over (partition by user_id, run order by event_id) - 1 as j from r where q),
+pts as (select user_id, event_id from c where n >= 2 and j = n // 2)""" + _APART + "select user_id, event_id from ap where event_id is not null",
     "signal_maxima": _SMOOTH.format(2, 2, 5) + """, d as (select *, lag(smooth) over (partition by user_id order by event_id) as was, lead(smooth) over (partition by user_id order by event_id) as next from m),
-l as (select user_id, avg(smooth) + 1.8 * stddev_pop(smooth) as limit_ from d group by 1)
-select user_id, event_id, round(smooth, 6) as smooth from d join l using (user_id) where smooth > was and smooth >= next and smooth > limit_""",
+l as (select user_id, avg(smooth) + 0.5 * stddev_pop(smooth) as limit_ from d group by 1),
+pts as (select user_id, event_id, smooth from d join l using (user_id) where smooth > was and smooth >= next and smooth > limit_)""" + _APART + "select user_id, event_id, round(smooth, 6) as smooth from pts join ap using (user_id, event_id)",
     "tree_to_links": LINKS + """, r as (select video_id, lower(rel) as rel, row_number() over (partition by video_id order by link_pos) as i from k)
 select video_id, i::int as src, i::int + 1 as tgt, coalesce(lag(rel) over (partition by video_id order by i), 'ROOT') as rel from r""",
     "validated_videos": """with s as (select video_id, bool_or(scene_ids is not null) as listed, coalesce(max(video_label), -1) as label from video_samples group by 1)

@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +51,38 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+_written: list[str] = []  # folders that this process wrote for itself and that are still there
+
+
+def scratch_path(spark: SparkSession, kind: str) -> str:
+    """A new folder in the shared one; it is removed by ``clear``, at the end of ``scratch``, or when the process ends."""
+    if not _written:
+        atexit.register(lambda: clear(spark))
+    _written.append(f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def clear(spark: SparkSession, since: int = 0) -> None:
+    """Remove the folders written since the ``since``-th, on whatever file system they are."""
+    for path in _written[since:]:
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001  the session is gone, and a folder left behind harms nobody
+            pass
+    del _written[since:]
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes what queries inside wrote for themselves; for use around a query and the action that consumes its result."""
+    since = len(_written)
+    try:
+        yield
+    finally:
+        clear(spark, since)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -56,7 +90,7 @@ def cut(df: DataFrame) -> DataFrame:
     and compressed, it is smaller than an RDD checkpoint and keeps column pruning.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "cut")
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
@@ -66,7 +100,7 @@ class Rounds:
     """The written tables of an iteration, one folder each, read together as one scan."""
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.base, self.n, self.schema = spark, f"{shared_dir(spark)}/rounds-{uuid.uuid4().hex}", 0, None
+        self.spark, self.base, self.n, self.schema = spark, scratch_path(spark, "rounds"), 0, None
 
     def add(self, df: DataFrame, open_rows: Column) -> int:
         """Write the next table; returns how many of its rows are open, counted while they are written."""

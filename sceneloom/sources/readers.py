@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,16 +97,69 @@ def csv_index(spark: SparkSession, path: str, *ignore: DataFrame) -> DataFrame:
 
 
 def or_empty(spark: SparkSession, path: str, schema: str, kind: str = "parquet") -> DataFrame:
-    """A table, or an empty one if it is not there; JSON records that can't be read are dropped."""
+    """A table, or an empty one if it is not there; of JSON, ``json_records`` gives the records that can't be read."""
     try:
-        reader = spark.read.schema(schema)
-        df = reader.option("mode", "DROPMALFORMED").json(path) if kind == "json" else reader.format(kind).load(path)
+        df = json_records(spark, path, schema)[0] if kind == "json" else spark.read.schema(schema).format(kind).load(path)
         df.isEmpty()
         return df
     except AnalysisException:
         return spark.createDataFrame([], schema)
 
 
+def json_records(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(records, rejected(key, reason)) of a JSON-lines file: a line that is no JSON object of the schema is rejected with its text, not dropped."""
+    raw = spark.read.text(path).where("trim(value) <> ''")
+    doc = F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    rows = raw.select("value", doc.alias("d"))
+    bad = F.col("d").isNull() | F.col("d._bad").isNotNull()
+    names = [f.name for f in rows.schema["d"].dataType.fields if f.name != "_bad"]
+    return rows.where(~bad).select(*(F.col(f"d.{n}").alias(n) for n in names)), rows.where(bad).select(F.col("value").alias("key"), F.lit("malformed record").alias("reason"))
+
+
+def video_records(scenes: DataFrame, vectors: DataFrame, links: DataFrame, samples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(scene rows of complete videos, rejected(key, reason)): scenes with vector and caption, and the video's number of links.
+
+    Only the latest vector of a scene counts. A video without a scene list, a label, a vector or a link is rejected as
+    ``checked_videos`` says; so is each scene whose vector is null, all zero or not finite.
+    """
+    checked = checked_videos(samples, vectors, links)
+    good = checked.where("reason = 'ok'").select("video_id")
+    v = vectors.groupBy("video_id", "scene_id").agg(F.max_by("embedding", "written_at").alias("embedding"))
+    x = F.col("embedding")
+    sound = F.coalesce(F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(x, lambda e: e != 0), F.lit(False))
+    v = v.join(good, "video_id", "left_semi").withColumn("sound", sound)
+    c = scenes.groupBy("video_id", "scene_id").agg(F.max_by("caption", "scene_no").alias("caption"))
+    n = links.select("video_id", "link_pos").distinct().groupBy("video_id").agg(F.count("*").alias("links"))
+    rows = v.where("sound").drop("sound").join(c, ["video_id", "scene_id"], "left").join(n, "video_id", "left")
+    bad = checked.where("reason <> 'ok'").select(F.col("video_id").alias("key"), "reason")
+    return rows, bad.unionByName(v.where("not sound").select(F.concat_ws("_scene_", "video_id", F.col("scene_id").cast("string")).alias("key"), F.lit("unusable vector").alias("reason")))
+
+
+def scene_guard(videos: DataFrame, units: str | Column, captions: str | Column, least: int = 2) -> DataFrame:
+    """``reason`` for arrays of a video's text units and captions: 'ok', too few units, fewer captions than units, or an empty caption."""
+    u, c = (F.col(x) if isinstance(x, str) else x for x in (units, captions))
+    reason = (
+        F.when(F.coalesce(F.size(u), F.lit(0)) < least, "too few units").when(F.coalesce(F.size(c), F.lit(0)) < F.size(u), "too few captions")
+        .when(F.exists(c, lambda x: x.isNull() | (F.trim(x) == "")), "empty caption").otherwise("ok")
+    )
+    return videos.withColumn("reason", reason)
+
+
+def concept_index(spark: SparkSession, folder: str, vocabulary: int) -> tuple[PipelineModel, DataFrame, DataFrame]:
+    """(model, centres, priors) of a written concept index; an error if it was built over another number of relation types."""
+    model, centres, priors, names = PipelineModel.load(f"{folder}/model"), *(spark.read.parquet(f"{folder}/{t}") for t in ("centres", "priors", "vocabulary"))
+    if (n := names.count()) != vocabulary:
+        raise ValueError(f"the concept index has {n} relation types, not {vocabulary}")
+    return model, centres, priors
+
+
+def edu_lines(spark: SparkSession, pattern: str) -> DataFrame:
+    """(doc, edu, text) of files with one text unit a line, numbered from 1; blank lines are no units. A file's lines stay together, as one file is one row."""
+    lines = F.filter(F.transform(F.split("value", r"\r?\n"), F.trim), lambda x: x != "")
+    raw = spark.read.text(pattern, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("doc"), F.posexplode(lines).alias("i", "text"))
+    return raw.select("doc", (F.col("i") + 1).alias("edu"), "text")
+
+
 def checked_videos(samples: DataFrame, vectors: DataFrame, links: DataFrame) -> DataFrame:
     """(video_id, reason): 'ok', or the first thing that a video lacks: scene list, label, vectors, links."""
     has = lambda df, c: df.select("video_id").distinct().withColumn(c, F.lit(True))
@@ -118,19 +172,37 @@ def checked_videos(samples: DataFrame, vectors: DataFrame, links: DataFrame) ->
     return v.select("video_id", reason.alias("reason"))
 
 
-def token_rows(spark: SparkSession, pattern: str) -> DataFrame:
-    """Token rows of tab-separated CoNLL files (eight columns or more); shorter rows are left out, blank lines are none."""
+def token_rows(spark: SparkSession, pattern: str, strict: bool = True) -> DataFrame:
+    """Token rows of tab-separated CoNLL files (eight columns or more); blank lines are none, and a shorter row is an error, or left out if not ``strict``."""
     t = F.split("value", "\t")
     raw = spark.read.text(pattern).where("trim(value) <> ''").select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("doc"), t.alias("t"))
     at = lambda i: F.get("t", F.lit(i))
+    short = F.assert_true(F.size("t") >= 8, F.concat(F.lit("fewer than eight columns in "), "doc"))
+    raw = raw.withColumn("_short", short).where("_short is null") if strict else raw
     return raw.where("size(t) >= 8").select(
         "doc", at(0).try_cast("int").alias("sent"), at(1).try_cast("int").alias("tok"), *(at(i).alias(n) for i, n in ((2, "word"), (3, "lemma"), (4, "pos"), (5, "dep"))),
         at(6).try_cast("int").alias("head"), at(7).alias("ner"),
     )
 
 
+def unreadable_xml(spark: SparkSession, pattern: str) -> DataFrame:
+    """(key, reason) of the parser XML files that ``xml_token_rows`` has no rows of because they cannot be read."""
+
+    def read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            bad = []
+            for doc, body in zip(pdf["folder"], pdf["body"]):
+                try:
+                    ET.fromstring(body)
+                except ET.ParseError as e:
+                    bad.append((doc, str(e)))
+            yield pd.DataFrame(bad, columns=["key", "reason"])
+
+    return whole_files(spark, pattern).mapInPandas(read, "key string, reason string")
+
+
 def xml_token_rows(spark: SparkSession, pattern: str) -> DataFrame:
-    """Token rows of parser XML: sentences with tokens, and the basic dependency of each token."""
+    """Token rows of parser XML: sentences with tokens, and the basic dependency of each token. ``unreadable_xml`` names the files left out."""
 
     def read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:

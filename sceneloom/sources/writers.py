@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sceneloom.functions.text import shorten
+from sceneloom.operators.tables import upsert
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -58,5 +59,40 @@ def append_csv(df: DataFrame, path: str, *scores: str) -> None:
     df.select(*(F.format_string("%.4f", c).alias(c) if c in scores else c for c in df.columns)).write.mode("append").option("header", True).csv(path)
 
 
+def save_concept_index(model, centres: DataFrame, priors: DataFrame, names: list[str], folder: str) -> None:
+    """What ``readers.concept_index`` reads: the fitted pipeline, centres, priors and the relation vocabulary."""
+    model.write().overwrite().save(f"{folder}/model")
+    vocabulary = centres.sparkSession.createDataFrame([(i, x) for i, x in enumerate(names)], "code int, rel string")
+    for name, df in (("centres", centres), ("priors", priors), ("vocabulary", vocabulary)):
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def save_concepts(members: DataFrame, concepts: DataFrame, folder: str) -> None:
+    """The tables ``concepts`` (a row each) and ``belongs_to`` (scene, concept), each row once."""
+    concepts.dropDuplicates(["concept_id"]).write.mode("overwrite").parquet(f"{folder}/concepts")
+    members.select("scene_uid", "concept_id").where("scene_uid is not null and concept_id is not null").distinct().write.mode("overwrite").parquet(f"{folder}/belongs_to")
+
+
+def save_cache(df: DataFrame, path: str, keys: list[str], order: str) -> DataFrame:
+    """Upsert rows into a cache table and return it; each call writes the next version, so a lost write leaves the last one whole."""
+    spark = df.sparkSession
+    done = spark.read.parquet(path).select(F.max("_v")).first()[0] if exists(spark, path) else None
+    if done is not None:
+        df = upsert(spark.read.parquet(path).where(F.col("_v") == done).drop("_v"), df, keys, order)
+    version = (done or 0) + 1
+    df.write.mode("overwrite").parquet(f"{path}/_v={version}")
+    return spark.read.parquet(f"{path}/_v={version}")
+
+
+def bracket_line(role: str, rel: str, first: str, last: str) -> Column:
+    """A discourse span as ``((first, last), role, relation)``."""
+    return F.format_string("((%d, %d), '%s', '%s')", F.col(first), F.col(last), F.col(role), F.col(rel))
+
+
+def conll_line(*columns: str) -> Column:
+    """A token row with tabs between its columns; nulls are underscores."""
+    return F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("_")) for c in columns))
+
+
 def write_lines(df: DataFrame, line: str, path: str) -> None:
     df.select(line).write.mode("overwrite").text(path)
