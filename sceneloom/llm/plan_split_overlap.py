@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sceneloom.functions.text import VIDEO_ID, split_name
-from sceneloom.llm.split_overlap import overlapping_keys, overlapping_texts
+from sceneloom.llm.split_overlap import linked_classes, linked_pairs, name_links, overlap_counts, text_links
 from sceneloom.runtime import cut, table
 
 
@@ -14,44 +14,47 @@ def _side(df: DataFrame) -> DataFrame:
     return df.withColumn("train", split_name("split") == "train")
 
 
-def _videos(spark: SparkSession, sf: str) -> DataFrame:
-    named = F.regexp_extract("video_id", VIDEO_ID, 1)
-    samples = _side(table(spark, sf, "video_samples")).withColumn("name", F.when(named != "", named))
-    return overlapping_keys(samples, "sample_no", "name", "train")
+def _links(spark: SparkSession, sf: str, kind: str) -> tuple[DataFrame, DataFrame]:
+    if kind == "video":
+        named = F.regexp_extract("video_id", VIDEO_ID, 1)
+        return name_links(_side(table(spark, sf, "video_samples")).withColumn("name", F.when(named != "", named)), "sample_no", "name", "train")
+    return text_links(_side(table(spark, sf, "scenes")), "scene_no", "caption", "train")
 
 
-def _captions(spark: SparkSession, sf: str) -> DataFrame:
-    return overlapping_texts(_side(table(spark, sf, "scenes")), "scene_no", "caption", "train")
-
-
-def _ordered(df: DataFrame, kind: str) -> DataFrame:
-    return df.select(F.lit(kind).alias("kind"), F.least("train_key", "eval_key").alias("key_a"), F.greatest("train_key", "eval_key").alias("key_b")).distinct()
+def _pairs(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    pairs = linked_pairs(*_links(spark, sf, kind))
+    return pairs.select(F.lit(kind).alias("kind"), F.least("train_key", "eval_key").alias("key_a"), F.greatest("train_key", "eval_key").alias("key_b")).distinct()
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _ordered(_videos(spark, sf), "video").unionByName(_ordered(_captions(spark, sf), "caption"))
+    return _pairs(spark, sf, "video").unionByName(_pairs(spark, sf, "caption"))
 
 
 def p5_videos(spark: SparkSession, sf: str) -> DataFrame:
-    return _ordered(_videos(spark, sf), "video")
+    return _pairs(spark, sf, "video")
+
+
+def p5_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """A row for each record that occurs on the other side too: its class and its number of partners."""
+    parts = []
+    for kind in ("video", "caption"):
+        members, links = _links(spark, sf, kind)
+        c = linked_classes(members, cut(links))
+        parts.append(c.select(F.lit(kind).alias("kind"), "key", "train", (F.hex("cls") if kind == "caption" else F.col("cls")).alias("class"), "links"))
+    return parts[0].unionByName(parts[1])
 
 
 def p5_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Confirmed pairs by kind, evaluation split and both sources."""
+    """Confirmed pairs by kind, evaluation split and both sources, counted by classes."""
     parts = []
-    for kind, name, key, pairs in (("video", "video_samples", "sample_no", _videos), ("caption", "scenes", "scene_no", _captions)):
-        of = table(spark, sf, name).groupBy(key).agg(F.max(split_name("split")).alias("split"), F.max("source").alias("source"))
-        parts.append(
-            cut(pairs(spark, sf))
-            .join(of.select(F.col(key).alias("train_key"), F.col("source").alias("train_source")), "train_key")
-            .join(of.select(F.col(key).alias("eval_key"), "split", F.col("source").alias("eval_source")), "eval_key")
-            .groupBy(F.lit(kind).alias("kind"), "split", "eval_source", "train_source")
-            .agg(F.count("*").alias("pairs"), F.countDistinct("eval_key").alias("eval_records"))
-        )
+    for kind, name, key in (("video", "video_samples", "sample_no"), ("caption", "scenes", "scene_no")):
+        of = table(spark, sf, name).groupBy(F.col(key).alias("key")).agg(F.max(split_name("split")).alias("split"), F.max("source").alias("source"))
+        members, links = _links(spark, sf, kind)
+        parts.append(overlap_counts(members, cut(links), of).withColumn("kind", F.lit(kind)))
     return parts[0].unionByName(parts[1])
 
 
-QUERIES = {"p5_found": p5_found, "p5_videos": p5_videos, "p5_report": p5_report}
+QUERIES = {"p5_found": p5_found, "p5_videos": p5_videos, "p5_classes": p5_classes, "p5_report": p5_report}
 SQL = {
     "p5_videos": r"""
 with s as (select distinct sample_no as k, regexp_extract(video_id, '([A-Za-z0-9_-]{11})(\.[A-Za-z0-9]+)?\s*$', 1) as v,

@@ -50,18 +50,21 @@ def signatures(tokens: np.ndarray, sizes: np.ndarray, bands: int = BANDS, rows:
         x = t + (np.arange(len(t)) - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         x ^= x >> np.uint64(29)
+        x = ((x * np.uint64(0x94D049BB133111EB)) >> np.uint64(32)).astype(np.uint32)
         rng = np.random.default_rng(seed)
-        mul = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        mul = rng.integers(0, 1 << 31, bands * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
         keys = np.zeros((len(sizes), bands), np.uint64)
+        turned = np.empty_like(x)
         for k, m in enumerate(mul):
-            low = np.minimum.reduceat((x * m) >> np.uint64(32), starts)
+            np.multiply(x, m, out=turned)
+            low = np.minimum.reduceat(turned, starts)
             band = k // rows
-            keys[:, band] = (keys[:, band] ^ low) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k)
+            keys[:, band] = (keys[:, band] ^ low.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k)
     return keys
 
 
-def overlapping_texts(df: DataFrame, key: str, text: str, side: str, shortest: int = 8, per_edit: int = 15) -> DataFrame:
-    """(train_key, eval_key): records of the two sides whose texts have a word edit distance of at most n // ``per_edit``.
+def text_links(df: DataFrame, key: str, text: str, side: str, shortest: int = 8, per_edit: int = 15) -> tuple[DataFrame, DataFrame]:
+    """(members(key, train, cls), links(t, e)): records by class, and the pairs of a train and an evaluation class whose texts have a word edit distance of at most n // ``per_edit``.
 
     ``side`` is true for train, false for evaluation, null for neither; n is the longer text's number of words, and
     both need at least ``shortest``. Equal word lists form one class, and the search runs over classes: minwise hashes
@@ -69,12 +72,13 @@ def overlapping_texts(df: DataFrame, key: str, text: str, side: str, shortest: i
     only a train class and an evaluation class that share a bucket and whose lengths allow the distance are candidates.
     Such a pair has a Jaccard similarity of at least (n - n // p) / (n + n // p), 0.875 for p = 15; with BANDS bands of
     ROWS hashes a pair at this limit is missed once in 5000. Candidates are verified by exact Jaccard similarity
-    against that limit, then by exact distance. Members are joined on at the end, so copies cost nothing before.
+    against that limit, then by exact distance. A class that has records on both sides is linked to itself.
 
-    Buckets and classes are never gathered: the joins stream, and adaptive execution splits hot keys.
+    Members are never expanded into pairs here, so copies cost nothing. Buckets and classes are never gathered: the
+    joins stream, and adaptive execution splits hot keys.
 
-    Edge cases: null keys and texts, and texts of fewer words, have no partner; rows with one key and side are one
-    record; an empty table gives an empty result; other columns are ignored.
+    Edge cases: null keys and texts, and texts of fewer words, have no partner; rows with one key, side and text are
+    one record; an empty table gives an empty result; other columns are ignored.
     """
     rows = spread(df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(side).alias("train")).where("key is not null and text is not null and train is not null"))
 
@@ -125,17 +129,48 @@ def overlapping_texts(df: DataFrame, key: str, text: str, side: str, shortest: i
 
     links = full.mapInPandas(verify, "t binary, e binary")
     same = classes.where("train and not all_train").select(F.col("cls").alias("t"), F.col("cls").alias("e"))
-    return (
-        links.unionByName(same)
-        .join(members.where("train").select(F.col("cls").alias("t"), F.col("key").alias("train_key")), "t")
-        .join(members.where("not train").select(F.col("cls").alias("e"), F.col("key").alias("eval_key")), "e")
-        .select("train_key", "eval_key").distinct()
-    )
+    return members, links.unionByName(same)
+
+
+def name_links(df: DataFrame, key: str, name: str, side: str) -> tuple[DataFrame, DataFrame]:
+    """As ``text_links`` for records that share a ``name`` exactly: the name is the class; nulls have no partner, repeated rows count once.
+
+    A name is a set of one shingle, whose minwise hash in every band is that of the name, so one join on it is exact.
+    """
+    members = df.select(F.col(key).alias("key"), F.col(side).alias("train"), F.col(name).alias("cls")).where("key is not null and cls is not null and train is not null").distinct()
+    both = members.groupBy("cls").agg(F.max("train").alias("some"), F.min("train").alias("every")).where("some and not every")
+    return members, both.select(F.col("cls").alias("t"), F.col("cls").alias("e"))
+
+
+def linked_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(train_key, eval_key): every pair of records of linked classes, once."""
+    train = members.where("train").select(F.col("cls").alias("t"), F.col("key").alias("train_key"))
+    other = members.where("not train").select(F.col("cls").alias("e"), F.col("key").alias("eval_key"))
+    return links.join(train, "t").join(other, "e").select("train_key", "eval_key").distinct()
+
+
+def linked_classes(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, train, cls, links): a row for each record of a linked class with its number of partners on the other side; no pair of records is made."""
+    sizes = members.groupBy("cls").agg(F.count_if("train").alias("trains"), F.count_if(~F.col("train")).alias("evals"))
+    of = lambda c, n: sizes.select(F.col("cls").alias(c), F.col(n).alias("n"))
+    partners = links.join(of("e", "evals"), "e").select(F.col("t").alias("cls"), F.lit(True).alias("train"), "n").unionByName(links.join(of("t", "trains"), "t").select(F.col("e").alias("cls"), F.lit(False).alias("train"), "n"))
+    return members.join(partners.groupBy("cls", "train").agg(F.sum("n").alias("links")), ["cls", "train"]).select("key", "train", "cls", "links")
+
+
+def overlap_counts(members: DataFrame, links: DataFrame, of: DataFrame) -> DataFrame:
+    """(split, eval_source, train_source, pairs, eval_records): sums over linked classes, whose members are only counted, by the ``split`` and ``source`` of each record in ``of``(key, split, source)."""
+    n = members.join(of, "key").groupBy("cls", "train", "split", "source").agg(F.count("*").alias("n"))
+    train = n.where("train").groupBy(F.col("cls").alias("t"), F.col("source").alias("train_source")).agg(F.sum("n").alias("nt"))
+    other = n.where("not train").select(F.col("cls").alias("e"), "split", F.col("source").alias("eval_source"), F.col("n").alias("ne"))
+    met = links.join(train, "t").join(other, "e").groupBy("e", "split", "eval_source", "train_source").agg(F.sum(F.col("nt") * F.col("ne")).alias("pairs"), F.max("ne").alias("ne"))
+    return met.groupBy("split", "eval_source", "train_source").agg(F.sum("pairs").alias("pairs"), F.sum("ne").alias("eval_records"))
+
+
+def overlapping_texts(df: DataFrame, key: str, text: str, side: str, shortest: int = 8, per_edit: int = 15) -> DataFrame:
+    """(train_key, eval_key) of ``text_links``."""
+    return linked_pairs(*text_links(df, key, text, side, shortest, per_edit))
 
 
 def overlapping_keys(df: DataFrame, key: str, name: str, side: str) -> DataFrame:
-    """(train_key, eval_key): records of the two sides with one ``name``; nulls have no partner, repeated rows count once."""
-    rows = df.select(F.col(key).alias("key"), F.col(name).alias("name"), F.col(side).alias("train")).where("key is not null and name is not null and train is not null").distinct()
-    left = rows.where("train").select("name", F.col("key").alias("train_key"))
-    right = rows.where("not train").select("name", F.col("key").alias("eval_key"))
-    return left.join(right, "name").select("train_key", "eval_key").distinct()
+    """(train_key, eval_key) of ``name_links``."""
+    return linked_pairs(*name_links(df, key, name, side))
