@@ -27,8 +27,18 @@ def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {"p7_found": p7_found, "p7_containers": p7_containers, "p7_fill": p7_fill}
+def p7_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each source the texts placed, whether each whole one lies in one container, no container is too full, and as few are used as tokens need plus one in a hundred."""
+    rows = p7_containers(spark, sf)
+    placed = rows.groupBy("source", "doc_id").agg(F.count("*").alias("times"), F.max("split").alias("split"))
+    docs = placed.groupBy("source").agg(F.count("*").alias("documents"), F.every(F.col("split") | (F.col("times") == 1)).alias("once"))
+    fill = p7_fill(spark, sf).select("source", "fits", (F.col("containers") <= 1 + F.ceil(F.col("least") * 1.01)).alias("tight"))
+    return docs.join(fill, "source")
+
+
+QUERIES = {"p7_checks": p7_checks, "p7_found": p7_found, "p7_containers": p7_containers, "p7_fill": p7_fill}
 SQL = {
+    "p7_checks": """select source, count(distinct doc_id) as documents, true as once, true as fits, true as tight from documents join container_specs using (source) where text <> '' group by 1""",
     "p7_found": """select distinct doc_id from documents join container_specs using (source)
 where text <> '' and coalesce(n_tokens, octet_length(encode(text)) + 1) > capacity"""
 }

@@ -19,5 +19,11 @@ def p8_report(spark: SparkSession, sf: str) -> DataFrame:
     return p8_found(spark, sf).groupBy("item_id").agg(F.count("*").alias("documents")).join(items, "item_id")
 
 
-QUERIES = {"p8_found": p8_found, "p8_report": p8_report}
-SQL: dict[str, str] = {}
+def p8_verbatim(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the pairs found those whose item stands in the document letter by letter: all such pairs must be among them."""
+    docs, items = table(spark, sf, "documents").select("doc_id", "text").distinct(), table(spark, sf, "eval_items").select("item_id", "item_text").distinct()
+    return p8_found(spark, sf).join(docs, "doc_id").join(items, "item_id").where(F.contains(F.col("text"), F.col("item_text"))).select("doc_id", "item_id").distinct()
+
+
+QUERIES = {"p8_found": p8_found, "p8_report": p8_report, "p8_verbatim": p8_verbatim}
+SQL = {"p8_verbatim": "select distinct doc_id, item_id from documents, eval_items where contains(text, item_text)"}

@@ -54,8 +54,19 @@ def p5_report(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-QUERIES = {"p5_found": p5_found, "p5_videos": p5_videos, "p5_classes": p5_classes, "p5_report": p5_report}
+def p5_identical(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the caption pairs those of one and the same text of twenty words and more: all such pairs must be among them."""
+    c = table(spark, sf, "scenes").select("scene_no", "caption").distinct().where(F.size(F.split("caption", " ")) >= 20)
+    a, b = (c.select(F.col("scene_no").alias(k), F.col("caption").alias(t)) for k, t in (("key_a", "ta"), ("key_b", "tb")))
+    return p5_found(spark, sf).where("kind = 'caption'").join(a, "key_a").join(b, "key_b").where("ta = tb").select("key_a", "key_b")
+
+
+QUERIES = {"p5_found": p5_found, "p5_identical": p5_identical, "p5_videos": p5_videos, "p5_classes": p5_classes, "p5_report": p5_report}
 SQL = {
+    "p5_identical": """
+with s as (select distinct scene_no as k, caption as c, lower(trim(split)) in ('train', 'training') as t from scenes
+  where lower(trim(split)) in ('train', 'training', 'val', 'validation', 'test') and len(string_split(caption, ' ')) >= 20)
+select distinct least(a.k, b.k) as key_a, greatest(a.k, b.k) as key_b from s a join s b on a.c = b.c and a.t and not b.t""",
     "p5_videos": r"""
 with s as (select distinct sample_no as k, regexp_extract(video_id, '([A-Za-z0-9_-]{11})(\.[A-Za-z0-9]+)?\s*$', 1) as v,
   lower(trim(split)) in ('train', 'training') as t from video_samples where lower(trim(split)) in ('train', 'training', 'val', 'validation', 'test'))
