@@ -43,22 +43,23 @@ def apart(points: DataFrame, key: str, at: str, gap: float | None) -> DataFrame:
 
 def silence_boundaries(signal: DataFrame, key: str, at: str, level: str, below: float, least: int, gap: float | None = None) -> DataFrame:
     """(key, at): the middle sample of every silent run (the later of two), none within ``gap`` of the last one kept."""
-    s = _runs(signal, key, at, level, below)
-    w = Window.partitionBy(key, "run")
-    s = s.withColumn("n", F.count("*").over(w)).withColumn("j", F.row_number().over(w.orderBy(at)) - 1)
-    return apart(s.where((F.col("n") >= least) & (F.col("j") == F.floor(F.col("n") / 2))).select(key, at), key, at, gap)
+    w = Window.partitionBy(key, "_run")
+    s = _runs(signal, key, at, level, below).withColumn("_n", F.count("*").over(w)).withColumn("_j", F.row_number().over(w.orderBy(at)) - 1)
+    return apart(s.where((F.col("_n") >= least) & (F.col("_j") == F.floor(F.col("_n") / 2))).select(key, at), key, at, gap)
 
 
 def _runs(signal: DataFrame, key: str, at: str, level: str, below: float) -> DataFrame:
+    """(key, at, _run): the samples under a level, with what tells their runs apart: the difference of two row numbers."""
     w = Window.partitionBy(key).orderBy(at)
-    s = signal.select(key, at, (F.col(level) < below).alias("quiet")).withColumn("i", F.row_number().over(w))
-    run = F.col("i") - F.row_number().over(Window.partitionBy(key, "quiet").orderBy(at))
-    return s.withColumn("run", run).where("quiet").select(key, at, "run")
+    s = signal.select(key, at, (F.col(level) < below).alias("_quiet")).withColumn("_i", F.row_number().over(w))
+    run = F.col("_i") - F.row_number().over(Window.partitionBy(key, "_quiet").orderBy(at))
+    return s.withColumn("_run", run).where("_quiet").select(key, at, "_run")
 
 
 def silence_runs(signal: DataFrame, key: str, at: str, level: str, below: float, least: int) -> DataFrame:
-    """(key, first, last, n): runs of at least ``least`` consecutive samples under a level, by the difference of two row numbers."""
-    return _runs(signal, key, at, level, below).groupBy(key, "run").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n")).where(F.col("n") >= least).drop("run")
+    """(key, first, last, n): runs of at least ``least`` consecutive samples under a level."""
+    runs = _runs(signal, key, at, level, below).groupBy(key, "_run").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n"))
+    return runs.where(F.col("n") >= least).drop("_run")
 
 
 def smoothed(signal: DataFrame, key: str, at: str, value: str, k: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sceneloom.operators import discourse as ds
@@ -39,10 +39,10 @@ def similarity_block(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hit_caption(spark: SparkSession, sf: str) -> DataFrame:
-    """Captions for scene vectors, some of whose scenes are not there."""
+    """Captions for the scenes after those of the vectors, some of which are not there; what was said is a part of the vector's own scene's caption."""
     caps = table(spark, sf, "scenes").groupBy("video_id", "scene_id").agg(F.max_by("caption", "scene_no").alias("caption"))
     hits = table(spark, sf, "scene_vectors").select(F.col("scene_uid").alias("hit"), "video_id", (F.col("scene_id") + 1).alias("scene_id")).distinct()
-    said = caps.select("video_id", F.col("scene_id"), F.col("caption").alias("said"))
+    said = caps.select("video_id", (F.col("scene_id") + 1).alias("scene_id"), F.substring("caption", 3, 60).alias("said"))
     return ge.hit_captions(hits.join(said, ["video_id", "scene_id"], "left"), caps).select("hit", "caption")
 
 
@@ -60,7 +60,16 @@ def clip_scene_ids(spark: SparkSession, sf: str) -> DataFrame:
 def explanation_sparsity(spark: SparkSession, sf: str) -> DataFrame:
     """Scenes with a caption over all scenes of a video, as an explanation's size."""
     v = table(spark, sf, "scenes").dropDuplicates(["scene_no"]).groupBy("video_id").agg(F.count_if(F.length("caption") > 60).alias("k"), F.count("*").alias("n"))
-    return v.select("video_id", F.round(ge.sparsity(F.col("k"), F.col("n")), 6).alias("sparsity"), F.round(ge.fidelity(F.lit(1.0), F.col("k") / F.col("n")), 6).alias("fidelity"))
+    return v.select("video_id", F.round(ge.sparsity(F.col("k"), F.col("n")), 6).alias("sparsity"))
+
+
+def explanation_fidelity(spark: SparkSession, sf: str) -> DataFrame:
+    """What the best score of each query loses where its best candidate's source concept is left out."""
+    s = table(spark, sf, "scored_candidates").where("query_video_id is not null and c_src is not null and mlp_score is not null and not isnan(mlp_score)")
+    best = s.groupBy("query_video_id", "c_src").agg(F.max("mlp_score").alias("m"))
+    w = Window.partitionBy("query_video_id").orderBy(F.desc("m"), "c_src")
+    two = best.withColumn("r", F.row_number().over(w)).where("r <= 2").groupBy("query_video_id").agg(F.max("m").alias("a"), F.max(F.when(F.col("r") == 2, F.col("m"))).alias("b"))
+    return two.select("query_video_id", F.round(ge.fidelity(F.col("a"), F.coalesce("b", F.lit(0.0))), 6).alias("fidelity"))
 
 
 def relation_type_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -78,7 +87,7 @@ def first_scene_tree(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        structural_top, similar_top, graph_lean, concept_triple_match, similarity_block, hit_caption, tag_top, clip_scene_ids, explanation_sparsity, relation_type_counts, first_scene_tree,
+        structural_top, similar_top, graph_lean, concept_triple_match, similarity_block, hit_caption, tag_top, clip_scene_ids, explanation_sparsity, explanation_fidelity, relation_type_counts, first_scene_tree,
     )
 }
 _TOP = """
@@ -100,11 +109,16 @@ select query, video_id, c_src, rel, c_tgt, (row_number() over (partition by quer
 from q join h using (c_src, rel, c_tgt) where query <> video_id qualify row <= 200""",
     "similarity_block": _TOP + """, b as (select query_video_id, 'Similar videos:' || chr(10) || string_agg('#' || rank || ' ' || video_id || ' label ' || coalesce(video_label::varchar, 'unknown') || ' score ' || printf('%.4f', avg_score), chr(10) order by rank) as block
 from si where rank <= 3 group by 1) select query_video_id, coalesce(block, 'No similar video.') as block from (select distinct query_video_id from structural_matches where query_video_id is not null) left join b using (query_video_id)""",
-    "hit_caption": """with c as (select video_id, scene_id, arg_max(caption, scene_no) as caption from scenes group by 1, 2), f as (select video_id, arg_min(caption, scene_id) as first from c where caption is not null group by 1)
-select distinct scene_uid as hit, coalesce(caption, first) as caption from scene_vectors v left join c on c.video_id = v.video_id and c.scene_id = v.scene_id + 1 left join f on f.video_id = v.video_id""",
+    "hit_caption": """with c as (select video_id, scene_id, arg_max(caption, scene_no) as caption from scenes group by 1, 2), f as (select video_id, arg_min(caption, scene_id) as first from c where caption is not null group by 1),
+h as (select distinct v.scene_uid as hit, v.video_id, v.scene_id + 1 as scene_id, substr(o.caption, 3, 60) as said from scene_vectors v left join c o on o.video_id = v.video_id and o.scene_id = v.scene_id),
+a as (select hit, arg_min(c.caption, c.scene_id) as alike from h join c on c.video_id = h.video_id and c.caption <> '' where said <> '' and (contains(said, substr(c.caption, 1, 40)) or contains(c.caption, substr(said, 1, 40))) group by 1)
+select hit, coalesce(c.caption, alike, first) as caption from h left join c on c.video_id = h.video_id and c.scene_id = h.scene_id left join a using (hit) left join f on f.video_id = h.video_id""",
     "tag_top": f"""select source, tag, count(*) as n, (row_number() over (partition by source order by count(*) desc, tag))::int as rank from (select source, unnest(audio_tags) as tag from {_S})
 where source is not null and tag is not null group by 1, 2 qualify rank <= 3""",
     "clip_scene_ids": rf"select scene_no, regexp_extract(clip_path, '(\d+)\.mp4$', 1)::int as clip_scene, clip_scene = scene_id as same from {_S} where clip_path is not null",
-    "explanation_sparsity": f"""select video_id, round(1 - count(*) filter (length(caption) > 60) / count(*)::double, 6) as sparsity, round(1 - count(*) filter (length(caption) > 60) / count(*)::double, 6) as fidelity from {_S} group by 1""",
+    "explanation_sparsity": f"""select video_id, round(1 - count(*) filter (length(caption) > 60) / count(*)::double, 6) as sparsity from {_S} group by 1""",
+    "explanation_fidelity": """with b as (select query_video_id, c_src, max(mlp_score) as m from scored_candidates where query_video_id is not null and c_src is not null and mlp_score is not null and not isnan(mlp_score) group by 1, 2),
+r as (select *, row_number() over (partition by query_video_id order by m desc, c_src) as r from b)
+select query_video_id, round(max(m) - coalesce(max(m) filter (r = 2), 0.0), 6) as fidelity from r where r <= 2 group by 1""",
     "relation_type_counts": LINKS + "select rel, count(*) as links, count(distinct video_id) as videos from k group by 1",
 }

@@ -86,6 +86,14 @@ def tree_to_spans(spark: SparkSession, sf: str) -> DataFrame:
     return _trees(spark, sf).select("video_id", F.inline(tree_spans("tree")))
 
 
+def tree_to_links_left(spark: SparkSession, sf: str) -> DataFrame:
+    """The links of left-branching trees, whose inner nodes are the nuclei of the outer ones."""
+    r = links(spark, sf).groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("link_pos", "rel"))).alias("l"))
+    heads = F.reverse(F.transform("l", lambda x: F.format_string("(nucleus-satellite:%s ", F.lower(x["rel"]))))
+    tails = F.transform("l", lambda x, i: F.format_string(" (text %d))", i + 1))
+    return r.select("video_id", F.inline(tree_links(F.concat(F.array_join(heads, ""), F.lit("(text 0)"), F.array_join(tails, "")))))
+
+
 def validated_videos(spark: SparkSession, sf: str) -> DataFrame:
     return checked_videos(table(spark, sf, "video_samples"), table(spark, sf, "scene_vectors"), table(spark, sf, "rst_links"))
 
@@ -161,7 +169,7 @@ def triple_scores(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        transcript_gaps, stt_gap_boundaries, silence_runs, silence_boundaries, signal_spikes, signal_maxima, video_nodes, transcript_alignment, tree_to_links, tree_to_spans, validated_videos, scene_index,
+        transcript_gaps, stt_gap_boundaries, silence_runs, silence_boundaries, signal_spikes, signal_maxima, video_nodes, transcript_alignment, tree_to_links, tree_to_links_left, tree_to_spans, validated_videos, scene_index,
         table_counts, event_sessions, stream_new_videos, concept_kmeans, concept_mixture, cluster_diagnostics, cluster_silhouette, triple_scores,
     )
 }
@@ -196,6 +204,11 @@ l as (select user_id, avg(smooth) + 0.5 * stddev_pop(smooth) as limit_ from d gr
 pts as (select user_id, event_id, smooth from d join l using (user_id) where smooth > was and smooth >= next and smooth > limit_)""" + _APART + "select user_id, event_id, round(smooth, 6) as smooth from pts join ap using (user_id, event_id)",
     "tree_to_links": LINKS + """, r as (select video_id, lower(rel) as rel, row_number() over (partition by video_id order by link_pos) as i from k)
 select video_id, i::int as src, i::int + 1 as tgt, coalesce(lag(rel) over (partition by video_id order by i), 'ROOT') as rel from r""",
+    "tree_to_links_left": LINKS + """, r as (select video_id, row_number() over (partition by video_id order by link_pos) as i, count(*) over (partition by video_id) as n from k)
+select video_id, 1::int as src, i::int + 1 as tgt, case when i = n then 'ROOT' else 'span' end as rel from r""",
+    "tree_to_spans": LINKS + """, r as (select video_id, lower(rel) as rel, row_number() over (partition by video_id order by link_pos) as i, count(*) over (partition by video_id) as n from k)
+select video_id, i::int as s, i::int as e, 'N' as nuc, 'span' as rel from r union all select video_id, n::int + 1, n::int + 1, 'S', max(rel) filter (i = n) from r group by 1, n
+union all select video_id, i::int, n::int + 1, case when i = 1 then 'N' else 'S' end, coalesce(lag(rel) over (partition by video_id order by i), 'ROOT') from r""",
     "validated_videos": """with s as (select video_id, bool_or(scene_ids is not null) as listed, coalesce(max(video_label), -1) as label from video_samples group by 1)
 select video_id, case when not listed then 'no scene list' when label < 0 then 'no label' when video_id not in (select video_id from scene_vectors where video_id is not null) then 'no vectors'
 when video_id not in (select video_id from rst_links where video_id is not null) then 'no links' else 'ok' end as reason from s""",

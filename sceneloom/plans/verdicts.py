@@ -99,8 +99,9 @@ def speaker_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 def embedding_text(spark: SparkSession, sf: str) -> DataFrame:
     s = table(spark, sf, "scenes").dropDuplicates(["scene_no"])
-    none = F.lit(None).cast("array<string>")
-    return s.select("scene_no", tx.embedding_text(F.lit(""), F.col("caption"), {}, F.col("audio_tags"), none).alias("text"))
+    said = tx.spoken_lines("speaker", F.transform("start_s", lambda x: F.format_string("%.3f", x)))
+    looks = {"mood": F.lower(F.trim("split")), "background": F.col("source")}
+    return s.select("scene_no", tx.embedding_text(said, F.col("caption"), looks, F.col("audio_tags"), F.slice("audio_tags", 1, 1)).alias("text"))
 
 
 def dominant_labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -228,8 +229,9 @@ from (select *, regexp_extract(caption, '(\d{{2}}:\d{{2}})', 1) as t from {_S})
     "scene_spans": f"""select scene_no, round(start_s[1], 3) as start, round(end_s[-1], 3) as "end", round(greatest(0.8, least(3.0, 0.08 * (end_s[-1] - start_s[1]))), 4) as clip from {_S}""",
     "speaker_lines": f"""select scene_no, coalesce(array_to_string([speaker[i] || ': ' || printf('%.3f', start_s[i]) for i in range(1, least(len(speaker), len(start_s)) + 1) if speaker[i] is not null], ' / '), '') as lines,
 array_to_string([case when i <= coalesce(len(speaker), 0) then speaker[i] else '?' end for i in range(1, len(start_s) + 1)], '|') as speakers from {_S}""",
-    "embedding_text": f"""select scene_no, concat_ws(chr(10), 'Transcript:', '(no spoken dialogue)', 'Caption:', coalesce(caption, '(no caption)'), 'Mood: neutral', 'Lighting: unknown', 'Background: unknown',
-'Color temperature: unknown', 'Color saturation: medium', 'Color lightness: medium', 'Tags: ' || case when len(audio_tags) > 0 then array_to_string(audio_tags, ', ') else 'none' end, 'Vibes: none') as text from {_S}""",
+    "embedding_text": f"""select scene_no, concat_ws(chr(10), 'Transcript:', coalesce(nullif(array_to_string([speaker[i] || ': ' || printf('%.3f', start_s[i]) for i in range(1, least(len(speaker), len(start_s)) + 1) if speaker[i] is not null], chr(10)), ''), '(no spoken dialogue)'),
+'Caption:', coalesce(caption, '(no caption)'), 'Mood: ' || coalesce(lower(trim(split, ' ')), 'neutral'), 'Lighting: unknown', 'Background: ' || coalesce(source, 'unknown'),
+'Color temperature: unknown', 'Color saturation: medium', 'Color lightness: medium', 'Tags: ' || case when len(audio_tags) > 0 then array_to_string(audio_tags, ', ') else 'none' end, 'Vibes: ' || case when len(audio_tags) > 0 then audio_tags[1] else 'none' end) as text from {_S}""",
     "dominant_labels": """with n as (select query_video_id, video_label as l, count(*) as n from similarity_videos where video_label is not null group by 1, 2)
 select query_video_id, '{' || string_agg('"' || l || '":' || n, ',' order by l::varchar) || '}' as distribution, arg_max(l, n * 100 - l) as label, max(n)::int as count, sum(n)::int as total from n group by 1""",
     "token_length_stats": f"select evidence_mode, min(token_count) as least, max(token_count) as most, round(avg(token_count), 4) as mean, count(*) filter (token_count > 512) as over from {_P} group by 1",

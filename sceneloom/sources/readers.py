@@ -155,7 +155,7 @@ def concept_index(spark: SparkSession, folder: str, vocabulary: int) -> tuple[Pi
 
 def edu_lines(spark: SparkSession, pattern: str) -> DataFrame:
     """(doc, edu, text) of files with one text unit a line, numbered from 1; blank lines are no units. A file's lines stay together, as one file is one row."""
-    lines = F.filter(F.transform(F.split("value", r"\r?\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("value", r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
     raw = spark.read.text(pattern, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("doc"), F.posexplode(lines).alias("i", "text"))
     return raw.select("doc", (F.col("i") + 1).alias("edu"), "text")
 

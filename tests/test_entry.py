@@ -23,8 +23,8 @@ def test_core_does_not_import_llm():
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 def test_core_queries_match_sql(spark):
     import compare
-    from sceneloom.plans import discourse, graph_evidence, hierarchy, retrieval, signals, verdicts
+    import __spark_entry__ as e
 
-    names = [n for m in (hierarchy, discourse, retrieval, verdicts, signals) for n in m.SQL]
+    names = [n for m in e.MODULES for n in m.SQL]
     assert compare.main(SF, names) == 0
     assert sys.modules["compare"]

@@ -80,7 +80,7 @@ def test_readers(spark, tmp_path, rows):
     (tmp_path / "i.csv").write_text("video_id,video_link,engagement_rate_label\nu,l,1\nz,l,2\n")
     assert rows(rd.csv_index(spark, str(tmp_path / "i.csv"), labels), "video_id") == [("z",)]
     (tmp_path / "t.conll").write_text("0\t1\tHi\thi\tUH\troot\t0\tO\n\n0\t2\tx\n")
-    assert rows(rd.token_rows(spark, str(tmp_path / "t.conll")), "word", "head") == [("Hi", 0)]
+    assert rows(rd.token_rows(spark, str(tmp_path / "t.conll"), strict=False), "word", "head") == [("Hi", 0)]
     (tmp_path / "x").mkdir()
     tok = '<token id="1"><word>Hi</word><lemma>hi</lemma><POS>UH</POS><NER>O</NER></token>'
     dep = '<dependencies type="basic-dependencies"><dep type="root"><governor idx="0">ROOT</governor><dependent idx="1">Hi</dependent></dep></dependencies>'
