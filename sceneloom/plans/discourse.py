@@ -113,6 +113,12 @@ p4 as (select a.video_id, b.child as head, list_append(chain, b.rel) as chain, l
   from p3 a join k b on a.video_id = b.video_id and a.head = b.parent and not list_contains(a.links, b.link_pos)),
 p as (select * from p2 union all select * from p3 union all select * from p4)
 """
+_WAYS = """, ed as (select video_id, link_pos, rel, parent as a, child as b from k union all select video_id, link_pos, rel, child, parent from k),
+nodes as (select distinct video_id, a as s from ed), root as (select video_id, coalesce(min(parent) filter (rel = 'ROOT'), min(least(parent, child))) as s from k group by 1),
+w(video_id, s, d, way) using key (video_id, s) as (select video_id, s, 0, '' from root union
+  select ed.video_id, ed.b, arg_min(w.d, [link_pos, a]) + 1, arg_min(rel || '>' || a || case when w.way = '' then '' else ' ' || w.way end, [link_pos, a]) from w join ed on w.video_id = ed.video_id and w.s = ed.a
+  left join recurring.w as r on r.video_id = ed.video_id and r.s = ed.b where r.s is null group by 1, 2)
+"""
 QUERIES = {
     f.__name__: f
     for f in (
@@ -149,8 +155,6 @@ h as (select video_id, s, 0 as h from h0 union all select h0.video_id, u.b, 1 fr
   union all select h0.video_id, v.b, 2 from h0 join u on h0.video_id = u.video_id and h0.s = u.a join u v on u.video_id = v.video_id and u.b = v.a)
 select video_id, s as scene_id, min(h) as hops from h group by 1, 2""",
     "relation_paths": LINKS + PATHS + "select array_to_string(chain, '>') as chain, count(*) as paths, count(distinct video_id) as videos from p group by 1",
-    "scene_depth": LINKS + """, nodes as (select distinct video_id, s from (select video_id, parent as s from k union all select video_id, child from k)),
-root as (select video_id, coalesce(min(parent) filter (rel = 'ROOT'), min(least(parent, child))) as s, count(*) as n from k group by 1),
-w as (select video_id, s, 0 as d, n from root union select w.video_id, u.b, w.d + 1, w.n from w join u on w.video_id = u.video_id and w.s = u.a where w.d < w.n and w.d < 450)
-select video_id, s as scene_id, coalesce(min(d), -1) as depth from nodes left join w using (video_id, s) group by 1, 2""",
+    "scene_depth": LINKS + _WAYS + "select video_id, s as scene_id, coalesce(d, -1)::int as depth from nodes left join w using (video_id, s)",
+    "path_to_root": LINKS + _WAYS + "select video_id, s as scene_id, coalesce(way, '') as path from nodes left join w using (video_id, s)",
 }

@@ -221,6 +221,10 @@ g as (select a as x, b as y from sim union select b, a from sim), w as (select x
 cc as (select x as node, min(r) as component from w group by 1), z as (select component, count(*) as n, row_number() over (order by count(*) desc, md5(component::varchar)) as no from cc group by 1),
 c as (select s.*, 'concept_' || no as concept_id from s join cc on vec_id = node join z using (component) where n >= 2)
 """
+_META = _CONCEPT + """, dc as (select doc_id, max(text) as t from documents group by 1),
+vd as (select concept_id, video_id, count(*) as n, list({'scene_id': scene_id, 'caption': coalesce(t, 'No caption available')} order by scene_id) as sc, (row_number() over (partition by concept_id order by count(*) desc, video_id))::int as rank
+  from c left join dc on doc_id = vec_id group by 1, 2)
+"""
 _REL = "([" + ", ".join(f"'{r}'" for r in RELS) + "])[rel_code + 1]"
 EDGES = SCENES + f""", e as (select a.video_id, a.video_label, a.is_test, {_REL.replace('rel_code', 'a.rel_code')} as rel, a.scene_id as src, b.scene_id as tgt, a.video_id * 8 + a.scene_id as edge,
   list_concat(a.e, b.e) as v from s a join s b on a.video_id = b.video_id and b.scene_id = (a.scene_id + 1) // 2 - 1 where a.scene_id >= 1)
@@ -258,6 +262,8 @@ select concept_id, scenes, i::int as i, round(x / sqrt(sum(x * x) over (partitio
     "concept_overlap_videos": _CONCEPT + """, q as (select video_id as query, concept_id, count(*) as scene_count from c where is_test group by 1, 2 qualify row_number() over (partition by video_id order by count(*) desc, concept_id) <= 5),
 o as (select concept_id, video_id, max(case when video_id % 7 > 0 then video_label else 1 end) as label, count(distinct scene_id) as overlap from c where not is_test and (video_id % 7 > 0 or video_id % 2 = 0) group by 1, 2)
 select query, concept_id, scene_count, video_id, label, coalesce(overlap, 0) as overlap, (row_number() over (partition by query order by scene_count desc, coalesce(overlap, 0) desc, concept_id, video_id nulls first))::int as rank from q left join o using (concept_id) qualify rank <= 20""",
+    "concept_metadata": _META + "select concept_id, to_json(list({'rank': rank, 'video_id': video_id, 'n': n, 'scenes': sc} order by rank))::varchar as metadata from vd group by 1",
+    "concept_prompt": _META + "select concept_id, to_json(list({'rank': rank, 'video_id': video_id, 'n': n, 'scenes': sc[1:3]} order by rank))::varchar as metadata from vd where rank <= 5 group by 1",
     "video_mean": SCENES + f"select video_id, i::int as i, round(avg(e[i + 1]), 6) as x from s, {_DIMS} group by 1, 2",
     "video_representation": SCENES + f""", m as (select video_id, list(x order by i) as q from (select video_id, i, avg(e[i + 1]) as x from s, {_DIMS} group by 1, 2) group by 1),
 w as (select s.video_id, e, list_dot_product(e, q) as d from s join m using (video_id)), v as (select *, exp((d - max(d) over (partition by video_id)) / 0.01) as w from w)
