@@ -9,7 +9,8 @@ from sceneloom.functions.captions import batch_captions, normal_caption, plain_c
 from sceneloom.operators import segmentation as sg
 from sceneloom.sources import readers as rd
 from sceneloom.sources import writers as wr
-from sceneloom.streaming.incremental import new_videos, run_to_table, sessions, upsert_stream
+from sceneloom.streaming import incremental
+from sceneloom.streaming.incremental import latest, new_videos, run_to_table, sessions, upsert_stream
 
 
 def one(spark, column):
@@ -127,11 +128,22 @@ def test_streams(spark, tmp_path, rows):
     stream = lambda: spark.readStream.schema(src.schema).parquet(f"{tmp_path}/in")
     assert rows(run_to_table(new_videos(stream(), "k", "t"), f"{tmp_path}/o", f"{tmp_path}/c").select("k")) == [("a",), ("b",)]
     upsert_stream(stream(), f"{tmp_path}/u", f"{tmp_path}/uc", ["k"], "t")
-    assert rows(spark.read.parquet(f"{tmp_path}/u/v=0"), "k", "v") == [("a", 2), ("b", 1)]
+    assert rows(latest(spark, f"{tmp_path}/u", src.schema, ["k"], "t", 0), "k", "v") == [("a", 2), ("b", 1)]
     assert rows(sessions(src, "k", "t"), "k", "n") == [("a", 2), ("b", 1)]
     assert sessions(src, "k", "t", late="1 hour").count() == 2
 
 
+def test_upserted_deltas_are_merged(spark, tmp_path, rows, monkeypatch):
+    monkeypatch.setattr(incremental, "COMPACT", 2)
+    for i, batch in enumerate(([("a", 1, 1)], [("a", 3, 2), ("b", 1, 1)], [("a", 2, 9), ("c", 1, 1)])):
+        spark.createDataFrame(batch, "k string, t int, v int").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        upsert_stream(spark.readStream.schema("k string, t int, v int").parquet(f"{tmp_path}/in"), f"{tmp_path}/u", f"{tmp_path}/log", ["k"], "t")
+        assert len(list(tmp_path.glob("u/full=*"))) == (i + 1) // 2
+    schema = spark.read.parquet(f"{tmp_path}/in").schema
+    assert rows(latest(spark, f"{tmp_path}/u", schema, ["k"], "t", 2), "k", "v") == [("a", 2), ("b", 1), ("c", 1)]
+    assert latest(spark, f"{tmp_path}/u", schema, ["k"], "t", -1).count() == 0
+
+
 @pytest.mark.parametrize("k", [5, 10])
 def test_smoothing_is_a_centred_convolution(spark, k):
     import numpy as np
