@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sceneloom.functions.vectors import dot, softmax, unit
+from sceneloom.functions.vectors import dot, unit
 from sceneloom.operators.tables import ranked
 
+CENTRE_BYTES = 16 << 20  # of concept centres in one broadcast row
+
 
 def number_by_size(members: DataFrame, least: int = 2, prefix: str = "concept_") -> DataFrame:
     """(node, concept_id, concept_no): communities numbered by falling size, equal sizes by a digest of the name; those under ``least`` are dropped, which leaves gaps only at the end.
@@ -139,16 +143,29 @@ def co_members(scenes: DataFrame, is_query: str, most: int = 5, rows: int = 20,
 
 
 def assign(scenes: DataFrame, centres: DataFrame, key: str, vec: str, top: int = 1, temperature: float = 0.1) -> DataFrame:
-    """(key, concept, p, rank): the ``top`` nearest concepts of each scene with softmax weights.
+    """(key, concept, p, rank): the ``top`` nearest concepts of each scene with softmax weights over all concepts.
 
-    The centres go along as one array in a broadcast row: their number is a parameter of the index, not of the data.
+    The centres go along in broadcast rows of at most CENTRE_BYTES, as many as their number takes. Of each row a scene
+    keeps its best concepts and the row's share of the softmax; where there are several, these are merged by scene.
     """
-    rows = centres.agg(F.array_sort(F.collect_list(F.struct("concept_id", "centre"))).alias("cs"))
-    u = scenes.where(F.col(vec).isNotNull()).select(key, unit(vec).alias("u")).join(F.broadcast(rows))
-    scored = u.select(key, F.transform("cs", lambda c: dot(F.col("u"), c["centre"])).alias("s"), F.transform("cs", lambda c: c["concept_id"]).alias("ids"))
-    pairs = F.arrays_zip(softmax("s", temperature).alias("p"), F.col("ids").alias("id"))
-    best = F.array_sort(F.transform(pairs, lambda x: F.struct((-x["p"]).alias("o"), x["id"].alias("id"))))
-    return scored.select(key, F.posexplode(F.slice(best, 1, top)).alias("i", "b")).select(key, F.col("b.id").alias("concept_id"), (-F.col("b.o")).alias("p"), (F.col("i") + 1).alias("rank"))
+    n, dim = centres.agg(F.count("*"), F.coalesce(F.max(F.size("centre")), F.lit(1))).first()
+    blocks = max(1, -(-n * dim * 8 // CENTRE_BYTES))
+    u = scenes.where(F.col(vec).isNotNull()).select(key, unit(vec).alias("u"), F.lit(1).alias("_one"))
+    parts = []
+    for b in range(blocks):
+        rows = centres.where(F.pmod(F.xxhash64("concept_id"), F.lit(blocks)) == b).agg(F.array_sort(F.collect_list(F.struct("concept_id", "centre"))).alias("cs"), F.lit(1).alias("_one"))
+        scored = u.join(F.broadcast(rows), "_one").where("size(cs) > 0").select(key, F.transform("cs", lambda c: F.struct((-dot(F.col("u"), c["centre"])).alias("o"), c["concept_id"].alias("id"))).alias("s"))
+        most = -F.array_min(F.transform("s", lambda x: x["o"]))
+        scored = scored.select(key, "s", most.alias("m"))
+        share = F.aggregate("s", F.lit(0.0), lambda t, x: t + F.exp((-x["o"] - F.col("m")) / temperature))
+        parts.append(scored.select(key, F.slice(F.array_sort("s"), 1, top).alias("s"), "m", share.alias("z")))
+    each = reduce(DataFrame.unionByName, parts)
+    if blocks > 1:
+        each = each.groupBy(key).agg(F.max("m").alias("top"), F.collect_list(F.struct("s", "m", "z")).alias("l"))
+        z = F.aggregate("l", F.lit(0.0), lambda t, x: t + x["z"] * F.exp((x["m"] - F.col("top")) / temperature))
+        each = each.select(key, F.slice(F.array_sort(F.flatten(F.transform("l", lambda x: x["s"]))), 1, top).alias("s"), F.col("top").alias("m"), z.alias("z"))
+    out = each.select(key, F.posexplode("s").alias("i", "b"), "m", "z")
+    return out.select(key, F.col("b.id").alias("concept_id"), (F.exp((-F.col("b.o") - F.col("m")) / temperature) / F.col("z")).alias("p"), (F.col("i") + 1).alias("rank"))
 
 
 def triples(links: DataFrame, scene_concepts: DataFrame) -> DataFrame:

@@ -74,7 +74,8 @@ def pruned_tree(clean: DataFrame, captions: DataFrame, hits: DataFrame) -> DataF
     near = undirected(clean).select("video_id", F.col("a").alias("scene_id"), F.col("b").alias("kept")).join(hits.select("video_id", "scene_id").distinct(), ["video_id", "scene_id"])
     kept = near.select("video_id", F.col("kept").alias("scene_id")).unionByName(hits.select("video_id", "scene_id")).distinct()
     h = hits.select("video_id", F.col("scene_id").alias("h")).distinct()
-    edges = clean.join(h, "video_id").where("parent = h or child = h").drop("h").distinct()
+    down, up = (clean.join(h.withColumnRenamed("h", end), ["video_id", end], "left_semi") for end in ("parent", "child"))
+    edges = down.unionByName(up).distinct()
     return tree_text(edges, captions.join(kept, ["video_id", "scene_id"], "left_semi"))
 
 

@@ -11,7 +11,7 @@ from sceneloom.functions import text as tx
 from sceneloom.functions.boundaries import CONTRACTS, apply_model, long_enough
 from sceneloom.functions.captions import batch_captions, first_object, plain_caption
 from sceneloom.functions.rst_tree import aligned_units
-from sceneloom.functions.vectors import blend
+from sceneloom.functions.vectors import blend, softmax
 from sceneloom.operators import channels as ch
 from sceneloom.operators import concepts as cp
 from sceneloom.operators import discourse as ds
@@ -93,6 +93,24 @@ def test_concepts(spark):
     assert sorted((r.video_id, r.concept_id) for r in kept.collect()) == [("v", "c1"), ("z", None)]
 
 
+def test_softmax_of_large_scores(spark):
+    got = one(spark, softmax(F.array(F.lit(1000.0), F.lit(1000.0), F.lit(0.0)), 1.0))
+    assert got == [0.5, 0.5, 0.0]
+
+
+@pytest.mark.parametrize("most", (1 << 24, 24))
+def test_assignment_in_blocks_of_centres(spark, monkeypatch, most):
+    monkeypatch.setattr(cp, "CENTRE_BYTES", most)
+    centres = spark.createDataFrame([(f"c{k}", [math.cos(k), math.sin(k)]) for k in range(5)], "concept_id string, centre array<double>")
+    scenes = spark.createDataFrame([(0, [2.0, 0.0]), (1, [0.0, 3.0]), (2, None)], "k int, v array<double>")
+    got = {(r.k, r["rank"]): (r.concept_id, r.p) for r in cp.assign(scenes, centres, "k", "v", top=2).collect()}
+    for k, v in ((0, [1.0, 0.0]), (1, [0.0, 1.0])):
+        s = {f"c{j}": v[0] * math.cos(j) + v[1] * math.sin(j) for j in range(5)}
+        z = sum(math.exp(x / 0.1) for x in s.values())
+        best = sorted(s, key=lambda c: -s[c])[:2]
+        assert [got[k, i + 1][0] for i in range(2)] == best and all(math.isclose(got[k, i + 1][1], math.exp(s[c] / 0.1) / z, rel_tol=1e-9) for i, c in enumerate(best))
+
+
 def test_representation_without_captions(spark):
     df = spark.createDataFrame([("a", [1.0, 0.0], "x", [1.0, 0.0]), ("a", [0.0, 1.0], " ", [9.0, 9.0]), ("b", [1.0, 0.0], None, None), ("b", [0.0, 1.0], "", None)], "v string, e array<double>, t string, te array<double>")
     got = {r.v: [round(x, 6) for x in r[1]] for r in cp.representation(df.withColumnRenamed("v", "k"), "k", "e", "t", "te").select(F.col("k").alias("v"), "v").toDF("v", "r").collect()}
