@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sceneloom.runtime import cut
 
-PARTS = 64  # numbering of equal items is spread over so many parts
+PART_ROWS = 1_000_000  # items of a part; the numbering of equal items is spread over parts of about this size, 64 at least
 
 
 class _Stock:
@@ -170,8 +170,8 @@ def pack_documents(documents: DataFrame, specs: DataFrame) -> DataFrame:
     numbered from 0 in each source.
 
     Only the histogram of sizes, at most ``capacity`` rows a source, meets in one task; the plan that comes back is
-    bounded by the capacity too. Texts never leave the scan. Items of equal size are numbered in PARTS parts with
-    offsets, so one source or one size that holds most rows is spread, and each finds its container by that number.
+    bounded by the capacity too. Texts never leave the scan. Items of equal size are numbered in parts with
+    offsets, the more the more items there are, so one source or one size that holds most rows is spread, and each finds its container by that number.
 
     Edge cases: null and empty texts, null sources and sources without a capacity are left out; white space counts
     as text; rows with one ``doc_id`` are one text; capacities below 5 are raised to 5, one character and the end
@@ -191,7 +191,8 @@ def pack_documents(documents: DataFrame, specs: DataFrame) -> DataFrame:
     )
     items = whole.withColumn("split", F.lit(False)).unionByName(parts.withColumn("split", F.lit(True)))
     items = items.groupBy("doc_id", "piece").agg(*(F.min(c).alias(c) for c in ("source", "start_char", "n_chars", "tokens", "split")))
-    items = cut(items.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(PARTS)).cast("int")))
+    items = cut(items)
+    items = items.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(max(64, items.count() // PART_ROWS))).cast("int"))
     counts = items.groupBy("source", "tokens", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("source", "tokens").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
