@@ -109,6 +109,32 @@ def top_in(df: DataFrame, group: str, item: str, n: int) -> DataFrame:
     return c.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n"), item))).where(F.col("rank") <= n)
 
 
+def clip_number(path: str | Column) -> Column:
+    """The scene number in a clip's name: ``clip_<n>_...``, else digits alone before the extension; null for other names."""
+    c = F.col(path) if isinstance(path, str) else path
+    n = F.coalesce(*(F.nullif(F.regexp_extract(c, p, 1), F.lit("")) for p in (r"clip_(\d+)_[^/\\]*$", r"(?:^|[/\\])(\d+)\.[A-Za-z0-9]+$")))
+    return n.try_cast("int")
+
+
+def clip_scenes(clips: DataFrame, key: str, path: str, order: str) -> DataFrame:
+    """``clip_scene``: the number in a clip's name, else its place (from 0) among the clips of its key by ``order``."""
+    at = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
+    return clips.withColumn("clip_scene", F.coalesce(clip_number(path), at))
+
+
+def graph_inputs(vectors: DataFrame, edges: DataFrame) -> DataFrame:
+    """(video_id, scene_ids, vectors, edges): what a graph network reads of each video: its scenes by number, and its edges (a, b, code) by place.
+
+    One row a video is the contract of that boundary; the latest row of a scene counts, edges may be missing.
+    """
+    v = vectors.where("embedding is not null").groupBy("video_id", "scene_id").agg(F.max_by("embedding", "written_at").alias("embedding"))
+    v = v.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("scene_id", "embedding"))).alias("v"))
+    e = edges.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("link_pos", "a", "b", "code"))).alias("e"))
+    none = F.array().cast("array<struct<a:int,b:int,code:int>>")
+    kept = F.transform("e", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), x["code"].alias("code")))
+    return v.join(e, "video_id", "left").select("video_id", F.col("v.scene_id").alias("scene_ids"), F.col("v.embedding").alias("vectors"), F.coalesce(kept, none).alias("edges"))
+
+
 def batches(df: DataFrame, key: str, size: int) -> DataFrame:
     """``batch``: the number of the group of ``size`` that a row's place in its key's numbering (from 0) falls in."""
     return df.withColumn("batch", F.floor(F.col(key) / size).cast("bigint"))

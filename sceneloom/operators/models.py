@@ -59,6 +59,12 @@ def triple_features(triples: DataFrame, k: int) -> DataFrame:
     return triples.withColumn("x", array_to_vector(F.array(F.col("cosine"), *hot, F.coalesce("prior", F.lit(0.5)), F.col("c_src") / k, F.col("c_tgt") / k)))
 
 
+def fit_split(df: DataFrame, *keys: str, share: float = 0.85) -> tuple[DataFrame, DataFrame]:
+    """(rows to fit on, rows held out) by a hash of the keys: the same ones whatever the partitioning."""
+    first = F.pmod(F.xxhash64(*keys, F.lit(17)), F.lit(1 << 30)) < int(share * (1 << 30))
+    return df.where(first), df.where(~first)
+
+
 def triple_scorer(triples: DataFrame, k: int, label: str = "label", seed: int = 42):
     """A perceptron 24-32-16-2 over ``triple_features``; the second class's probability is the score."""
     net = MultilayerPerceptronClassifier(layers=[len(GLOSS) + 4, 32, 16, 2], featuresCol="x", labelCol=label, maxIter=60, seed=seed)

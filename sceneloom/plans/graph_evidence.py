@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sceneloom.functions.discourse import GLOSS, relation_code
 from sceneloom.operators import discourse as ds
 from sceneloom.operators import evidence as ev
 from sceneloom.operators import graph_evidence as ge
@@ -53,8 +54,23 @@ def tag_top(spark: SparkSession, sf: str) -> DataFrame:
 
 def clip_scene_ids(spark: SparkSession, sf: str) -> DataFrame:
     s = table(spark, sf, "scenes").dropDuplicates(["scene_no"]).where("clip_path is not null")
-    n = F.regexp_extract("clip_path", r"(\d+)\.mp4$", 1).cast("int")
-    return s.select("scene_no", n.alias("clip_scene"), (n == F.col("scene_id")).alias("same"))
+    n = F.col("clip_scene")
+    return ge.clip_scenes(s, "video_id", "clip_path", "scene_no").select("scene_no", n, (n == F.col("scene_id")).alias("same"))
+
+
+def sound_top(spark: SparkSession, sf: str) -> DataFrame:
+    """The two most frequent sounds of each source, apart for tags (one word) and vibes (several)."""
+    tags = table(spark, sf, "scenes").dropDuplicates(["scene_no"]).select("source", F.explode("audio_tags").alias("tag")).where("source is not null")
+    kind = F.when(F.col("tag").contains(" "), "vibe").otherwise("tag")
+    return ge.top_in(tags.select(F.concat_ws("/", "source", kind).alias("source"), "tag"), "source", "tag", 2)
+
+
+def graph_inputs(spark: SparkSession, sf: str) -> DataFrame:
+    """Sizes of what a graph network reads of each video."""
+    links = ds.clean_links(table(spark, sf, "rst_links"), table(spark, sf, "video_samples"))
+    edges = links.select("video_id", "link_pos", (F.col("src") - 1).alias("a"), (F.col("tgt") - 1).alias("b"), relation_code("rel").alias("code"))
+    g = ge.graph_inputs(table(spark, sf, "scene_vectors"), edges)
+    return g.select("video_id", F.size("scene_ids").alias("scenes"), F.get("scene_ids", F.lit(0)).alias("first_scene"), F.size("edges").alias("edges"), F.aggregate("edges", F.lit(0), lambda s, x: s + x["code"]).alias("codes"))
 
 
 def explanation_sparsity(spark: SparkSession, sf: str) -> DataFrame:
@@ -87,7 +103,7 @@ def first_scene_tree(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        structural_top, similar_top, graph_lean, concept_triple_match, similarity_block, hit_caption, tag_top, clip_scene_ids, explanation_sparsity, explanation_fidelity, relation_type_counts, first_scene_tree,
+        structural_top, similar_top, graph_lean, concept_triple_match, similarity_block, hit_caption, tag_top, clip_scene_ids, sound_top, graph_inputs, explanation_sparsity, explanation_fidelity, relation_type_counts, first_scene_tree,
     )
 }
 _TOP = """
@@ -116,6 +132,10 @@ select hit, coalesce(c.caption, alike, first) as caption from h left join c on c
     "tag_top": f"""select source, tag, count(*) as n, (row_number() over (partition by source order by count(*) desc, tag))::int as rank from (select source, unnest(audio_tags) as tag from {_S})
 where source is not null and tag is not null group by 1, 2 qualify rank <= 3""",
     "clip_scene_ids": rf"select scene_no, regexp_extract(clip_path, '(\d+)\.mp4$', 1)::int as clip_scene, clip_scene = scene_id as same from {_S} where clip_path is not null",
+    "sound_top": f"""select source || '/' || case when contains(tag, ' ') then 'vibe' else 'tag' end as source, tag, count(*) as n, (row_number() over (partition by source || '/' || case when contains(tag, ' ') then 'vibe' else 'tag' end order by count(*) desc, tag))::int as rank
+from (select source, unnest(audio_tags) as tag from {_S}) where source is not null and tag is not null group by 1, 2 qualify rank <= 2""",
+    "graph_inputs": LINKS + f""", v as (select distinct video_id, scene_id from scene_vectors where embedding is not null), ed as (select video_id, count(*) as n, sum(list_position([{', '.join(repr(t) for t in GLOSS)}], rel) - 1) as c from k group by 1)
+select video_id, count(*)::int as scenes, min(scene_id) as first_scene, coalesce(max(n), 0)::int as edges, coalesce(max(c), 0)::int as codes from v left join ed using (video_id) group by 1""",
     "explanation_sparsity": f"""select video_id, round(1 - count(*) filter (length(caption) > 60) / count(*)::double, 6) as sparsity from {_S} group by 1""",
     "explanation_fidelity": """with b as (select query_video_id, c_src, max(mlp_score) as m from scored_candidates where query_video_id is not null and c_src is not null and mlp_score is not null and not isnan(mlp_score) group by 1, 2),
 r as (select *, row_number() over (partition by query_video_id order by m desc, c_src) as r from b)

@@ -161,16 +161,27 @@ def triple_scores(spark: SparkSession, sf: str) -> DataFrame:
     near = c.select(F.col("concept").alias("c_src"), F.col("centre").alias("a")).crossJoin(c.select(F.col("concept").alias("c_tgt"), F.col("centre").alias("b"))).select("c_src", "c_tgt", cosine("a", "b").alias("cosine"))
     t = t.join(prior(t, *key), key, "left").join(near, ["c_src", "c_tgt"], "left")
     rows = cut(t.select(num("c_src").alias("c_src"), num("c_tgt").alias("c_tgt"), F.col("rst_type").alias("rel"), F.col("video_label").alias("label"), F.coalesce("cosine", F.lit(0.0)).alias("cosine"), "prior"))
-    fit_on = rows.where("label in (0, 1)").where(F.pmod(F.xxhash64("c_src", "c_tgt", "rel"), F.lit(100)) < 5).limit(FIT_ROWS)  # a scorer is fitted on a bounded sample
-    out = ml.triple_scorer(fit_on, 64).transform(ml.triple_features(rows, 64))
+    fit_on = rows.where("label in (0, 1)").where(F.pmod(F.xxhash64("c_src", "c_tgt", "rel"), F.lit(100)) < 5).orderBy(F.xxhash64("c_src", "c_tgt", "rel", "label", "cosine"), "prior").limit(FIT_ROWS)  # a scorer is fitted on a bounded sample
+    out = ml.triple_scorer(ml.fit_split(fit_on, "c_src", "rel", "c_tgt")[0], 64).transform(ml.triple_features(rows, 64))
     return out.groupBy("rel").agg(F.count("*").alias("n"), F.round(F.avg(vector_to_array("probability")[1]), 3).alias("score"))
 
 
+def triple_scorer_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows fitted on, rows held out, and the share of these that the perceptron labels rightly."""
+    t = table(spark, sf, "scored_candidates").where("c_src is not null and c_tgt is not null and rst_type is not null and video_label in (0, 1)")
+    key, num = ["c_src", "rst_type", "c_tgt"], lambda c: F.regexp_extract(c, r"\d+", 0).cast("double")
+    fit, held = ml.fit_split(t.where(F.pmod(F.xxhash64(*key), F.lit(100)) < 5).orderBy(F.xxhash64(*key, "video_id"), *key, "video_id").limit(FIT_ROWS), *key)
+    rows = lambda df: df.join(prior(fit, *key), key, "left").select(num("c_src").alias("c_src"), num("c_tgt").alias("c_tgt"), F.col("rst_type").alias("rel"), F.col("video_label").cast("double").alias("label"), F.lit(0.0).alias("cosine"), "prior")
+    fitted = cut(rows(fit))
+    out = ml.triple_scorer(fitted, 64).transform(ml.triple_features(rows(held), 64))
+    return out.agg(F.lit(fitted.count()).alias("fitted"), F.count("*").alias("held"), F.round(F.avg((F.col("prediction") == F.col("label")).cast("double")), 3).alias("accuracy"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         transcript_gaps, stt_gap_boundaries, silence_runs, silence_boundaries, signal_spikes, signal_maxima, video_nodes, transcript_alignment, tree_to_links, tree_to_links_left, tree_to_spans, validated_videos, scene_index,
-        table_counts, event_sessions, stream_new_videos, concept_kmeans, concept_mixture, cluster_diagnostics, cluster_silhouette, triple_scores,
+        table_counts, event_sessions, stream_new_videos, concept_kmeans, concept_mixture, cluster_diagnostics, cluster_silhouette, triple_scores, triple_scorer_accuracy,
     )
 }
 _SEGS = """

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sceneloom import runtime
 from sceneloom.functions import text as tx
 from sceneloom.functions.boundaries import CONTRACTS, apply_model, long_enough
-from sceneloom.functions.captions import batch_captions, first_object, plain_caption
+from sceneloom.functions.captions import batch_captions, first_object, nfc, plain_caption
 from sceneloom.functions.rst_tree import aligned_units
 from sceneloom.functions.vectors import blend, softmax
 from sceneloom.operators import channels as ch
@@ -20,6 +20,7 @@ from sceneloom.operators import graph_evidence as ge
 from sceneloom.operators import segmentation as sg
 from sceneloom.operators import tables as tb
 from sceneloom.operators.evidence import depth_penalty
+from sceneloom.operators.models import fit_split
 from sceneloom.operators.nearest import nearest
 from sceneloom.sources import readers as rd
 from sceneloom.sources import writers as wr
@@ -213,6 +214,19 @@ def test_concept_index(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/kb/belongs_to").count() == 1 and spark.read.parquet(f"{tmp_path}/kb/concepts").count() == 1
 
 
+def test_clips_and_graph_inputs(spark):
+    names = [("v", "a/clip_001_17.9-23.7.mp4", 5), ("v", "0009.mp4", 6), ("v", "x.mp4", 7), ("v", None, 8)]
+    got = ge.clip_scenes(spark.createDataFrame(names, "video_id string, p string, n int"), "video_id", "p", "n").orderBy("n").collect()
+    assert [r.clip_scene for r in got] == [1, 9, 2, 3]
+    v = spark.createDataFrame([("v", 1, [1.0], 1), ("v", 0, [2.0], 1), ("v", 0, [3.0], 2), ("w", 0, None, 1), ("z", 4, [1.0], 1)], "video_id string, scene_id int, embedding array<double>, written_at int")
+    e = spark.createDataFrame([("v", 2, 1, 0, 4), ("v", 1, 0, 1, 7)], "video_id string, link_pos int, a int, b int, code int")
+    g = {r.video_id: (r.scene_ids, r.vectors, [tuple(x) for x in r.edges]) for r in ge.graph_inputs(v, e).collect()}
+    assert g == {"v": ([0, 1], [[3.0], [1.0]], [(0, 1, 7), (1, 0, 4)]), "z": ([4], [[1.0]], [])}
+    fit, held = fit_split(spark.range(2000), "id")
+    assert fit.count() + held.count() == 2000 and 1600 < fit.count() < 1800 and one(spark, F.lit(1)) == 1
+    assert [r.x for r in spark.createDataFrame([("e\u0301 ",), (None,)], "t string").select(nfc("t").alias("x")).collect()] == ["é", None]
+
+
 def test_guards(spark):
     df = spark.createDataFrame([(["a", "b"], ["x", "y"]), (["a"], ["x"]), (["a", "b"], ["x"]), (["a", "b"], ["x", " "]), (None, None)], "u array<string>, c array<string>")
     assert [r.reason for r in rd.scene_guard(df, "u", "c").collect()] == ["ok", "too few units", "too few captions", "empty caption", "too few units"]
