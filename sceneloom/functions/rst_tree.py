@@ -150,13 +150,16 @@ def plain_token(t: str) -> str:
 def align_units(tokens: list[str], units: list[str]) -> list[int]:
     """The number (from 1) of the unit that each token belongs to, by matching texts without spaces in order. ValueError where they differ."""
     out: list[int] = []
+    bare = lambda t: "".join(plain_token(t).split())  # noqa: E731  a token too may hold spaces of other kinds
     for k, unit in enumerate(units, 1):
-        want, got = "".join(plain_token(t) for t in unit.split()), ""
+        want, got = bare(unit), ""
         while want and got != want:
-            if len(out) == len(tokens) or not want.startswith(got + plain_token(tokens[len(out)])):
+            if len(out) == len(tokens) or not want.startswith(got + bare(tokens[len(out)])):
                 raise ValueError(f"unit {k} does not match at token {len(out)}")
-            got += plain_token(tokens[len(out)])
+            got += bare(tokens[len(out)])
             out.append(k)
+    while units and len(out) < len(tokens) and not bare(tokens[len(out)]):  # blank tokens at the end
+        out.append(len(units))
     if len(out) != len(tokens):
         raise ValueError("tokens are left over")
     return out

@@ -322,5 +322,7 @@ select video_id, case when u < 2 then 'too few units' when blank > 0 then 'empty
     "video_durations": "select l_orderkey, l_linenumber, round(l_quantity::double / case when l_linenumber % 3 > 0 then l_linenumber * 12.5 else 30.0 end, 6) as seconds from lineitem",
     "vision_json": rf"""with j as (select record_no, regexp_extract(raw_llm_output, '\{{.*\}}', 0, 's') as j from {_P})
 select record_no, coalesce(json_valid(j), false) as sound, case when json_valid(j) then json_extract_string(j, '$.predicted_label') end as label from j""",
+    "token_units": rf"""with u as (select scene_no, string_split(regexp_replace(trim(caption, ' '), '\. +', '.' || chr(1), 'g'), chr(1)) as u from {_S} where trim(caption, ' ') <> ''), n as (select scene_no, unnest(u) as t, generate_subscripts(u, 1)::int as unit from u)
+select scene_no, unit, len(string_split_regex(t, '\s+')) as words from n""",
     "caption_batches": f"select distinct video_id, scene_id, caption from {_S} where caption is not null and scene_id >= 0",
 }

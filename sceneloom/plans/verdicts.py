@@ -223,6 +223,8 @@ when count(*) filter (video_label = 2) < count(*) filter (video_label = 0) then
     "verdict_parse": _JSON + f"""select record_no, case when raw is null or raw = '' then -1 when n is not null then {_SNAP.format('n')} when m is not null then {_SNAP.format('m')} else -1 end as predicted_label,
 case when raw is null or raw = '' then 'Empty LLM response' when n is not null then json_extract_string(j, '$.explanation') when m is not null then 'Broad Regex' else 'Parsing failed' end as explanation from n""",
     "caption_truncate": f"select scene_no, case when length(caption) > 130 then substr(caption, 1, 130) || '...' else caption end as caption from {_S}",
+    "caption_normal": rf"""select scene_no, coalesce(trim(regexp_replace(regexp_replace(replace(strip_accents(lower(regexp_replace(replace(replace(replace(caption, '…', '...'), chr(160), ' '), 'đ', 'd'), '[“”‘’—–£€¥₹¤±©®™]', '', 'g'))), 'đ', 'd'),
+'([,.;:!?()"''/\\-])', ' \1 ', 'g'), '\s+', ' ', 'g')), '') as caption from {_S}""",
     "uid_parts": r"select distinct scene_uid, regexp_extract(scene_uid, '_(\d+)$', 1)::int as scene_no, scene_uid = video_id || '_scene_' || scene_id as same from scene_vectors",
     "caption_timecodes": rf"""select scene_no, t as timecode, split_part(t, ':', 1)::double * 60 + split_part(t, ':', 2)::double as seconds, regexp_extract(caption, '\d+')::bigint as first_number
 from (select *, regexp_extract(caption, '(\d{{2}}:\d{{2}})', 1) as t from {_S}) where t <> ''""",
