@@ -39,8 +39,7 @@ def p5_classes(spark: SparkSession, sf: str) -> DataFrame:
     parts = []
     for kind in ("video", "caption"):
         members, links = _links(spark, sf, kind)
-        c = linked_classes(members, cut(links))
-        parts.append(c.select(F.lit(kind).alias("kind"), "key", "train", (F.hex("cls") if kind == "caption" else F.col("cls")).alias("class"), "links"))
+        parts.append(linked_classes(members, cut(links)).withColumn("kind", F.lit(kind)))
     return parts[0].unionByName(parts[1])
 
 
@@ -79,6 +78,8 @@ fo as (select distinct 'video' as kind, a.k as tk, b.k as ek from v a join v b o
 QUERIES = {"p5_found": p5_found, "p5_identical": p5_identical, "p5_videos": p5_videos, "p5_classes": p5_classes, "p5_report": p5_report}
 SQL = {
     "p5_found": _FOUND + "select kind, least(tk, ek) as key_a, greatest(tk, ek) as key_b from fo group by all",
+    "p5_classes": _FOUND + """, me as (select 'video' as kind, k, t, min(k) over (partition by v) as class from v where v <> '' union all select 'caption', k, t, min(k) over (partition by w) from x)
+select me.kind, k as key, t as train, class, count(*) as links from me join fo on fo.kind = me.kind and case when t then tk else ek end = k group by all""",
     "p5_report": _FOUND + f""", y as (select 'video' as kind, sample_no as k, max(case when {_KNOWN} then case when lower(trim(split)) in ('train', 'training') then 'train' when lower(trim(split)) in ('val', 'validation') then 'val' else 'test' end end) as split, max(source) as source from video_samples group by 2
   union all select 'caption', scene_no, max(case when {_KNOWN} then case when lower(trim(split)) in ('train', 'training') then 'train' when lower(trim(split)) in ('val', 'validation') then 'val' else 'test' end end), max(source) from scenes group by 2)
 select fo.kind, e.split, e.source as eval_source, t.source as train_source, count(*) as pairs, count(distinct ek) as eval_records

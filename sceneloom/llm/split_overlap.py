@@ -150,11 +150,12 @@ def linked_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def linked_classes(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(key, train, cls, links): a row for each record of a linked class with its number of partners on the other side; no pair of records is made."""
-    sizes = members.groupBy("cls").agg(F.count_if("train").alias("trains"), F.count_if(~F.col("train")).alias("evals"))
+    """(key, train, class, links): a row for each record of a linked class, which its smallest key names, with its number of partners on the other side; no pair of records is made."""
+    sizes = members.groupBy("cls").agg(F.count_if("train").alias("trains"), F.count_if(~F.col("train")).alias("evals"), F.min("key").alias("class"))
     of = lambda c, n: sizes.select(F.col("cls").alias(c), F.col(n).alias("n"))
     partners = links.join(of("e", "evals"), "e").select(F.col("t").alias("cls"), F.lit(True).alias("train"), "n").unionByName(links.join(of("t", "trains"), "t").select(F.col("e").alias("cls"), F.lit(False).alias("train"), "n"))
-    return members.join(partners.groupBy("cls", "train").agg(F.sum("n").alias("links")), ["cls", "train"]).select("key", "train", "cls", "links")
+    linked = partners.groupBy("cls", "train").agg(F.sum("n").alias("links")).join(sizes.select("cls", "class"), "cls")
+    return members.join(linked, ["cls", "train"]).select("key", "train", "class", "links")
 
 
 def overlap_counts(members: DataFrame, links: DataFrame, of: DataFrame) -> DataFrame:
