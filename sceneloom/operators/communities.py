@@ -40,10 +40,10 @@ def communities(edges: DataFrame, weight: str = "weight", resolution: float = 1.
     e = cut(e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y"), "w")))
     degree = cut(e.groupBy("x").agg(F.sum("w").alias("k")))
     twice = degree.agg(F.sum("k")).first()[0] or 1.0
-    state = degree.select("x", F.col("x").alias("c"))
-    still = 0
+    turns, still = Rounds(edges.sparkSession), 0
+    turns.add(degree.select("x", F.col("x").alias("c"), F.lit(False).alias("moved")), F.col("moved"))
     for turn in range(2 * rounds):
-        state = cut(state)
+        state = turns.last().select("x", "c")
         size = state.join(degree, "x").groupBy("c").agg(F.sum("k").alias("kc"))
         links = e.join(state.select(F.col("x").alias("y"), F.col("c").alias("to")), "y").groupBy("x", "to").agg(F.sum("w").alias("w"))
         mine = state.join(degree, "x").where(F.pmod(F.xxhash64("x"), F.lit(2)) == turn % 2)
@@ -54,11 +54,11 @@ def communities(edges: DataFrame, weight: str = "weight", resolution: float = 1.
             choice.join(mine, "x").join(size.select(F.col("c").alias("to"), "kc"), "to").withColumn("gain", gain)
             .withColumn("r", F.row_number().over(best)).where("r = 1 and to <> c").select("x", "to")
         )
-        moves = cut(moves)
-        still = still + 1 if moves.isEmpty() else 0
+        moved = turns.add(state.join(moves, "x", "left").select("x", F.coalesce("to", "c").alias("c"), F.col("to").isNotNull().alias("moved")), F.col("moved"))
+        still = 0 if moved else still + 1
         if still == 2:
             break
-        state = state.join(moves, "x", "left").select("x", F.coalesce("to", "c").alias("c"))
+    state = turns.last().select("x", "c")
     names = state.groupBy("c").agg(F.min("x").alias("community"))
     return state.join(names, "c").select(F.col("x").alias("node"), "community")
 

@@ -54,9 +54,9 @@ def signal_maxima(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def video_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    """Videos cut at their pauses, at three pieces."""
+    """Videos cut at their pauses, to the millisecond, at three pieces."""
     s = sg.segments(table(spark, sf, "scenes"))
-    b = sg.gaps(s, 1.0).groupBy("video_id").agg(F.collect_list("middle").alias("b"))
+    b = sg.gaps(s, 1.0).groupBy("video_id").agg(F.collect_list(F.floor(F.col("middle") * 1000) / 1000).alias("b"))
     d = s.groupBy("video_id").agg(F.max("end").alias("d")).join(b, "video_id", "left")
     n = d.select("video_id", F.posexplode(sg.nodes(F.coalesce("b", F.array().cast("array<double>")), "d")).alias("node", "s"))
     return n.select("video_id", "node", "s.start", "s.end")
@@ -201,6 +201,13 @@ SQL = {
     "stt_gap_boundaries": _SEGS + """, c as (select distinct video_id, (a + q) / 2 as m from p where a - q >= 1.5), k as (select video_id, min(m) as m from c group by 1
   union all select k.video_id, (select min(c.m) from c where c.video_id = k.video_id and c.m - k.m >= 1.5) from k where k.m is not null)
 select video_id, round(m, 4) as boundary from k where m is not null""",
+    "video_nodes": _SEGS + """, m as (select video_id, list_sort(list(distinct floor((a + q) / 2 * 1000) / 1000)) as b from p where a - q >= 1.0 group by 1),
+v as (select video_id, d, coalesce([x for x in b if x > 1.5 and x < d - 1.5], []) as b, [round(i * d / 3, 3) for i in [1, 2]] as ev from (select video_id, max(b) as d from t group by 1) left join m using (video_id)),
+k as (select *, list_reduce(b, lambda acc, x: case when len(acc) = 0 or x - acc[-1] >= 1.0 then list_append(acc, x) else acc end, []::double[]) as k from v),
+f as (select *, [c for c in ev if c > 1.5 and c < d - 1.5 and len([x for x in k if abs(c - x) < 1.0]) = 0] as f from k),
+o as (select *, list_sort(list_concat(k, list_reduce(f, lambda acc, x: case when len(acc) = 0 or x - acc[-1] >= 1.0 then list_append(acc, x) else acc end, []::double[]))) as mo from f),
+c as (select video_id, list_concat(list_concat([0.0::double], [round(x, 3) for x in case when len(k) >= 2 then k when len(mo) >= 2 then mo else ev end]), [round(d, 3)]) as c from o)
+select video_id, (i - 1)::int as node, c[i] as start, c[i + 1] as "end" from (select video_id, c, unnest(range(1, len(c))) as i from c)""",
     "silence_runs": """with e as (select user_id, event_id, value < 10.0 as q, row_number() over (partition by user_id order by event_id) as i from events where value is not null),
 r as (select *, i - row_number() over (partition by user_id, q order by event_id) as run from e)
 select user_id, min(event_id) as first, max(event_id) as last, count(*) as n from r where q group by user_id, run having count(*) >= 2""",
