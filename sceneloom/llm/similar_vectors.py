@@ -197,7 +197,7 @@ def candidate_pairs(vectors: DataFrame, least: float, trees: int, probes: int, l
         return spark.createDataFrame([], "i bigint, j bigint")
     want = int(min(SAMPLE_MOST, max(SAMPLE_LEAST, LEAF_SAMPLE * n / leaf)))
     part = vectors if n <= want else vectors.where(F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * min(1, 1.2 * want / n)))
-    sample = _unit(_matrix(part.select("vec").limit(want).toArrow().column(0)))
+    sample = _unit(_matrix(part.orderBy("h").limit(want).select("vec").toArrow().column(0)))
     forest = spark.sparkContext.broadcast(fit_forest(sample, trees, max(2, int(leaf * len(sample) / n)), seed))
     dim = sample.shape[1]
     body = np.dtype([("id", "<i8"), ("scale", "<f4"), ("off", "<f4"), ("home", "u1"), ("code", "i1", (dim,))])
